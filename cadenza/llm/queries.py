@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, mixing
+from cadenza.llm import bpe, chat, mixing, quality_rules
 from cadenza.llm.common import WORD, table
 
 #: Words of a text column in DuckDB.
@@ -16,6 +16,18 @@ SQL_WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
 PROBE = r"\### Assistant: </turn> ok"
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again, as digests."""
+    return bpe.round_trip(bpe.encode(table(spark, sf_dir, "documents")))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and the verdicts of the base rules and of the learned list."""
+    judged = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *(f"stats.{c}" for c in counts), "base_failed", "kept", "rule")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and conversation -7, rendered, parsed again and digested."""
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
@@ -95,6 +107,8 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, sour
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_byte_bpe": op3_byte_bpe,
+    "op5_quality_rules": op5_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
     "op9_mixing": op9_mixing,
 }
