@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, chat, mixing, quality_rules
+from cadenza.llm import bpe, chat, line_dedup, mixing, quality_rules, topk
 from cadenza.llm.common import WORD, table
 
 #: Words of a text column in DuckDB.
@@ -16,6 +16,34 @@ SQL_WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
 PROBE = r"\### Assistant: </turn> ok"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its later repeated runs of lines, as a digest."""
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP1_SQL = """
+WITH parts AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), windows AS (
+    SELECT doc_id, unnest(range(1, len(l) - 1)) AS start, l FROM parts WHERE len(l) >= 3
+), keyed AS (
+    SELECT doc_id, start, l[start:start + 2] AS w FROM windows
+), ranked AS (
+    SELECT doc_id, start, row_number() OVER (PARTITION BY w ORDER BY doc_id, start) AS nth FROM keyed
+), gone AS (
+    SELECT DISTINCT doc_id, start + unnest([0, 1, 2]) AS line FROM ranked WHERE nth > 1
+), cut AS (
+    SELECT doc_id, list(line) AS lines FROM gone GROUP BY doc_id
+), kept AS (
+    SELECT p.doc_id, l, coalesce(len(lines), 0) AS n_removed,
+           list_filter(l, lambda x, i: NOT list_contains(coalesce(lines, []), i)) AS k
+    FROM parts p LEFT JOIN cut c USING (doc_id)
+)
+SELECT doc_id, len(l)::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, sha256(array_to_string(k, chr(10))) AS kept_sha256 FROM kept
+"""
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again, as digests."""
     return bpe.round_trip(bpe.encode(table(spark, sf_dir, "documents")))
@@ -106,13 +134,36 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, source, copies::BIGINT AS copies FROM taken
 """
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other rows for each row whose id is divisible by 50, of all rows."""
+    rows = topk.integers(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows.where("vec_id % 50 = 0"), rows, 5)
+
+
+OP10_SQL = """
+WITH good AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score
+    FROM good q JOIN good d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
     "op9_mixing": op9_mixing,
+    "op10_top_k": op10_top_k,
 }
 SQL: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
     "op6_chat_formatting": OP6_SQL,
     "op9_mixing": OP9_SQL,
+    "op10_top_k": OP10_SQL,
 }
