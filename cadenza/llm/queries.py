@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, chat, line_dedup, mixing, quality_rules, topk
-from cadenza.llm.common import WORD, table
+from cadenza.llm import bpe, chat, line_dedup, mixing, quality_model, quality_rules, topk, toxicity
+from cadenza.llm.common import WORD, crc_mod, table
 
 #: Words of a text column in DuckDB.
 SQL_WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
@@ -92,6 +92,20 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from four of five folds."""
+    held_out = crc_mod("doc_id", 5) == 0
+    scored = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from two of three folds."""
+    held_out = crc_mod("doc_id", 3) == 1
+    scored = quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole mix of all documents: what each gives, and its source's size and target."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -158,6 +172,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality_model": op8_quality_model,
     "op9_mixing": op9_mixing,
     "op10_top_k": op10_top_k,
 }
