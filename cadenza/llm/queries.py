@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, chat, line_dedup, mixing, quality_model, quality_rules, topk, toxicity
+from cadenza.llm import bpe, chat, line_dedup, mixing, ngram_join, quality_model, quality_rules, topk, toxicity
 from cadenza.llm.common import WORD, crc_mod, table
 
 #: Words of a text column in DuckDB.
@@ -49,6 +49,36 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(bpe.encode(table(spark, sf_dir, "documents")))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate class and its number of links."""
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+OP4_SQL = rf"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, {SQL_WORDS} AS w FROM documents
+), starts AS (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM texts WHERE len(w) > 0
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM starts
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 9 * both >= 4 * (p.n + q.n)
+), reach AS (
+    SELECT doc_id, doc_id AS root FROM documents
+    UNION SELECT links.y, reach.root FROM reach JOIN links ON reach.doc_id = links.x
+), classes AS (
+    SELECT doc_id, min(root) AS class_id FROM reach GROUP BY doc_id
+), counts AS (
+    SELECT x, count(*) AS n FROM links GROUP BY x
+)
+SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links FROM classes LEFT JOIN counts ON x = doc_id
+"""
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and the verdicts of the base rules and of the learned list."""
     judged = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
@@ -170,6 +200,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_ngram_join": op4_ngram_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_toxicity": op7_toxicity,
@@ -179,6 +210,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op4_ngram_join": OP4_SQL,
     "op6_chat_formatting": OP6_SQL,
     "op9_mixing": OP9_SQL,
     "op10_top_k": OP10_SQL,
