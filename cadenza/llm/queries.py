@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, chat, line_dedup, mixing, ngram_join, quality_model, quality_rules, topk, toxicity
+from cadenza.llm import bpe, chat, line_dedup, mixing, ngram_join, quality_model, quality_rules, substring_dedup, topk, toxicity
 from cadenza.llm.common import WORD, crc_mod, table
 
 #: Words of a text column in DuckDB.
@@ -44,6 +44,35 @@ SELECT doc_id, len(l)::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, sha256
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that a document with a smaller id has in windows of 13, as a digest."""
+    kept = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = rf"""
+WITH texts AS (
+    SELECT doc_id, {SQL_WORDS} AS w FROM documents
+), starts AS (
+    SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM texts WHERE len(w) >= 13
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM starts
+), again AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM windows) WHERE doc_id > first
+), gone AS (
+    SELECT DISTINCT doc_id, i + unnest(range(13)) AS word FROM again
+), counts AS (
+    SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+), placed AS (
+    SELECT doc_id, unnest(w) AS one, unnest(range(1, len(w) + 1)) AS word FROM texts
+), kept AS (
+    SELECT doc_id, string_agg(one, ' ' ORDER BY word) AS k FROM placed ANTI JOIN gone USING (doc_id, word) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM texts LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again, as digests."""
     return bpe.round_trip(bpe.encode(table(spark, sf_dir, "documents")))
@@ -64,9 +93,9 @@ WITH RECURSIVE texts AS (
 ), sizes AS (
     SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
 ), pairs AS (
-    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
 ), links AS (
-    SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 9 * both >= 4 * (p.n + q.n)
+    SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 9 * n_common >= 4 * (p.n + q.n)
 ), reach AS (
     SELECT doc_id, doc_id AS root FROM documents
     UNION SELECT links.y, reach.root FROM reach JOIN links ON reach.doc_id = links.x
@@ -199,6 +228,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_ngram_join": op4_ngram_join,
     "op5_quality_rules": op5_quality_rules,
@@ -210,6 +240,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op2_substring_dedup": OP2_SQL,
     "op4_ngram_join": OP4_SQL,
     "op6_chat_formatting": OP6_SQL,
     "op9_mixing": OP9_SQL,
