@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import staged
@@ -308,3 +309,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = F.struct("doc_id", "part")
     head = F.when(F.col("node").isNull(), own).otherwise(F.col("head"))
     return out.select("doc_id", "part", head.doc_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (head == own).alias("is_head"))
+
+
+def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their class: one of each class.
+
+    Texts without words are classes of their own; equal rows of these all stay.
+    """
+    heads = join(docs, threshold).where("is_head").select(F.col("doc_id").alias("_head"), F.col("part").alias("_head_part")).distinct()
+    part = F.xxhash64(F.coalesce("text", F.lit("")))
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_head")) & (part == F.col("_head_part"))
+    same = W.partitionBy("_head", "_head_part").orderBy(F.lit(1))
+    kept = docs.join(heads, key).withColumn("_nth", F.row_number().over(same))
+    return kept.where((F.col("_nth") == 1) | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
