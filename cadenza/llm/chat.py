@@ -116,7 +116,11 @@ def json_turns(df: DataFrame, record: str = "record", conv_id: str = "conv_id")
     keys = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
     known = sorted(JSON_TYPES)
     below = [F.when(F.array_contains(keys, k), F.coalesce(F.json_object_keys(F.get_json_object(raw, f"$.{k}[0]")), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")) for k in known]
-    nested = [F.transform(b, lambda x, k=k: F.concat(F.lit(f"{k}[]."), x)) for k, b in zip(known, below, strict=True)]
+
+    def prefixed(k: str, names: Column) -> Column:
+        return F.transform(names, lambda x: F.concat(F.lit(f"{k}[]."), x))
+
+    nested = [prefixed(k, b) for k, b in zip(known, below, strict=True)]
     plain = F.filter(keys, lambda x: ~x.isin(known))
     found = F.array_sort(F.array_distinct(F.concat(plain, *nested)))
     names = sorted({p for k in LAYOUTS for p in k if "[]" not in p})
