@@ -43,13 +43,14 @@ def crate_metrics(items: DataFrame) -> DataFrame:
 def crate_tempo(items: DataFrame) -> DataFrame:
     """crate_id, source, mean, low, high, n, left_out: tempo over the most trusted source a crate has, from crate_id, bpm, bpm_source.
 
-    Sources are never mixed; what comes from others is only counted.
+    Sources are never mixed; what comes from others is only counted. Sums are decimal, so a mean
+    doesn't depend on their order.
     """
     rank = F.when(F.col("bpm_source") == "engine", 0).when(F.col("bpm_source") == "collection", 1).otherwise(2)
-    known = items.where(tempo.valid(F.col("bpm"))).groupBy("crate_id", rank.alias("rank")).agg(F.sum("bpm").alias("total"), F.min("bpm").alias("low"), F.max("bpm").alias("high"), F.count(F.lit(1)).alias("n"))
+    known = items.where(tempo.valid(F.col("bpm"))).groupBy("crate_id", rank.alias("rank")).agg(F.sum(F.col("bpm").cast("decimal(20,6)")).alias("total"), F.min("bpm").alias("low"), F.max("bpm").alias("high"), F.count(F.lit(1)).alias("n"))
     best = known.groupBy("crate_id").agg(F.min_by(F.struct("rank", "total", "low", "high", "n"), "rank").alias("b"), F.sum("n").alias("every"))
     name = F.get(F.array(*map(F.lit, BPM_SOURCES)), F.col("b.rank"))
-    return best.select("crate_id", name.alias("source"), F.round(F.col("b.total") / F.col("b.n"), 1).alias("mean"), F.round("b.low", 1).alias("low"), F.round("b.high", 1).alias("high"), F.col("b.n").alias("n"), (F.col("every") - F.col("b.n")).alias("left_out"))
+    return best.select("crate_id", name.alias("source"), F.round(F.col("b.total") / F.col("b.n"), 1).cast("double").alias("mean"), F.round("b.low", 1).alias("low"), F.round("b.high", 1).alias("high"), F.col("b.n").alias("n"), (F.col("every") - F.col("b.n")).alias("left_out"))
 
 
 def base_reason() -> Column:

@@ -176,7 +176,7 @@ SQL: dict[str, str] = {
     c AS (SELECT crate_id, sum(n)::BIGINT AS n FROM g JOIN p USING (crate_id) WHERE (number - peak_key + 12) % 12 IN (0, 1, 11) GROUP BY crate_id)
     SELECT crate_id, items, with_file, seconds, peak_key, coalesce(n, 0) AS compatible FROM s LEFT JOIN p USING (crate_id) LEFT JOIN c USING (crate_id)""",
     "crate_tempo": f"""WITH {BIG}, {CRATES}, k AS (SELECT *, min(bpm_rank) OVER (PARTITION BY crate_id) AS best FROM crates WHERE bpm > 0)
-    SELECT crate_id, (['engine', 'collection', 'other'])[best + 1] AS source, round((sum(bpm) FILTER (bpm_rank = best) / count(*) FILTER (bpm_rank = best))::VARCHAR::DECIMAL(38, 18), 1)::DOUBLE AS mean, round(min(bpm) FILTER (bpm_rank = best), 1) AS low,
+    SELECT crate_id, (['engine', 'collection', 'other'])[best + 1] AS source, ((2 * sum(round(bpm * 10)::BIGINT) FILTER (bpm_rank = best) + count(*) FILTER (bpm_rank = best)) // (2 * count(*) FILTER (bpm_rank = best)))::DOUBLE / 10 AS mean, round(min(bpm) FILTER (bpm_rank = best), 1) AS low,
     round(max(bpm) FILTER (bpm_rank = best), 1) AS high, count(*) FILTER (bpm_rank = best) AS n, count(*) FILTER (bpm_rank <> best) AS left_out FROM k GROUP BY crate_id, best""",
     "crate_shelves": f"""WITH {BIG}, {CRATES} SELECT lower(genre) AS genre, count(*) AS items, 'other' AS family FROM crates GROUP BY ALL""",
     "genre_spearman": f"""WITH {LIBRARY}, t AS (SELECT * FROM library WHERE bpm > 0), r AS (SELECT genre,
