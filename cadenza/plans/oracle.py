@@ -196,6 +196,34 @@ SQL: dict[str, str] = {
     "duplicate_pairs": f"""WITH {LIBRARY}, p AS (SELECT a.path AS a, b.path AS b, corr_ AS similarity FROM library a JOIN library b ON a.path < b.path AND abs(a.duration - b.duration) <= greatest(2::DOUBLE, least(a.duration, b.duration) * 0.02::DOUBLE),
     LATERAL (SELECT corr(x, y) AS corr_ FROM (SELECT unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y)))
     SELECT a, b, {six("similarity")} AS similarity FROM p WHERE similarity >= 0.3::DOUBLE""",
+    "duplicate_survivors": f"""WITH RECURSIVE {LIBRARY}, p AS (SELECT a.path AS a, b.path AS b, corr_ AS similarity FROM library a JOIN library b ON a.path < b.path AND abs(a.duration - b.duration) <= greatest(2::DOUBLE, least(a.duration, b.duration) * 0.02::DOUBLE),
+    LATERAL (SELECT corr(x, y) AS corr_ FROM (SELECT unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y))), found AS (SELECT * FROM p WHERE similarity >= 0.3::DOUBLE),
+    e AS (SELECT a AS x, b AS y FROM found UNION ALL SELECT b, a FROM found), reach AS (SELECT x AS path, x AS root FROM e UNION SELECT y, root FROM reach JOIN e ON path = x),
+    g AS (SELECT path, min(root) AS "group" FROM reach GROUP BY path), w AS (SELECT "group", min(similarity) AS least_similarity, count(*) AS pairs FROM found JOIN g ON path = a GROUP BY "group"),
+    m AS (SELECT "group", count(*) AS members FROM g GROUP BY "group")
+    SELECT path, "group", members, {six("least_similarity")} AS least_similarity, 2 * pairs = members * (members - 1) AS all_agree,
+    row_number() OVER (PARTITION BY "group" ORDER BY vec_id % 80 DESC, vec_id % 3 = 0, vec_id % 5 = 0 DESC, vec_id % 7 = 0 DESC, path) = 1 AS keep FROM g JOIN m USING ("group") JOIN w USING ("group") JOIN library USING (path)""",
+    "mark_merge": f"""WITH {BIG}, {MARKS}, m AS (SELECT *, (mark_id // 100) % 2 = 1 AS odd FROM marks), known AS (SELECT DISTINCT path, kind, num, start_ms, end_ms FROM m WHERE NOT odd),
+    a AS (SELECT *, CASE WHEN start_ms >= duration * 1000 OR end_ms > duration * 1000 THEN 'outside' END AS o FROM m WHERE odd),
+    b AS (SELECT a.*, CASE WHEN o IS NULL AND (k.path IS NOT NULL OR row_number() OVER (PARTITION BY a.path, a.kind, a.num, a.start_ms, a.end_ms, o IS NULL ORDER BY mark_id) > 1) THEN 'present' ELSE o END AS p
+        FROM a LEFT JOIN known k ON a.path = k.path AND a.kind = k.kind AND a.num IS NOT DISTINCT FROM k.num AND a.start_ms = k.start_ms AND a.end_ms IS NOT DISTINCT FROM k.end_ms),
+    t AS (SELECT DISTINCT path, num FROM known WHERE num IS NOT NULL),
+    c AS (SELECT b.*, CASE WHEN p IS NULL AND b.num IS NOT NULL THEN CASE WHEN t.path IS NOT NULL OR row_number() OVER (PARTITION BY b.path, b.num, p IS NULL ORDER BY mark_id) > 1 THEN 'kept' ELSE 'added' END ELSE p END AS q
+        FROM b LEFT JOIN t ON b.path = t.path AND b.num = t.num),
+    h AS (SELECT path, kind, count(*) AS have FROM m WHERE NOT odd AND num IS NULL GROUP BY ALL),
+    d AS (SELECT c.kind, CASE WHEN q IS NULL THEN CASE WHEN coalesce(have, 0) + row_number() OVER (PARTITION BY c.path, c.kind, q IS NULL ORDER BY mark_id) > 32 THEN 'full' ELSE 'added' END ELSE q END AS outcome FROM c LEFT JOIN h ON c.path = h.path AND c.kind = h.kind)
+    SELECT kind, outcome, count(*) AS marks FROM d GROUP BY ALL""",
+    "pending_batches": f"""WITH {OBSERVED}, p AS (SELECT path, lower(regexp_extract(path, '([^/]*)$', 1)) AS name FROM stable WHERE size % 2 = 1 OR length(path) % 3 = 0),
+    r AS (SELECT path, row_number() OVER (PARTITION BY name ORDER BY path) - 1 AS r FROM p)
+    SELECT path, r::VARCHAR || '-' || ((row_number() OVER (PARTITION BY r ORDER BY path) - 1) // 8)::VARCHAR AS batch FROM r""",
+    "bridges": f"""WITH {LIBRARY}, tracks AS (SELECT * FROM library WHERE duration >= 90), {PAIRS.format(t="tracks")}, e AS (SELECT from_path AS x, to_path AS y, -ln(mix) AS c FROM pairs WHERE mix > 0),
+    n AS (SELECT '/lib/' || lpad((n_nationkey * 3 + 1)::VARCHAR, 6, '0') AS s, '/lib/' || lpad((n_nationkey * 7 + 120)::VARCHAR, 6, '0') AS g FROM nation),
+    q AS (SELECT s, g, a.duration AS sd, b.duration AS gd, a.bpm AS sb, b.bpm AS gb, {mix("a.bpm", "a.key", "b.bpm", "b.key")} AS m FROM n JOIN library a ON a.path = s JOIN library b ON b.path = g),
+    z AS (SELECT *, CASE WHEN sd < 90 OR gd < 90 THEN 'fragment' WHEN s = g THEN 'same' WHEN NOT (sb > 0 AND gb > 0) THEN 'no-tempo' END AS no FROM q),
+    f AS (SELECT s, g, a.c + b.c AS cost, s || ' ' || a.y || ' ' || g AS found, 3 AS size FROM z JOIN e a ON a.x = s JOIN e b ON b.x = a.y AND b.y = g WHERE no IS NULL AND a.y <> g
+        UNION ALL SELECT s, g, a.c + b.c + d.c, s || ' ' || a.y || ' ' || b.y || ' ' || g, 4 FROM z JOIN e a ON a.x = s JOIN e b ON b.x = a.y JOIN e d ON d.x = b.y AND d.y = g WHERE no IS NULL AND a.y <> g AND b.y <> s AND b.y <> g),
+    o AS (SELECT *, row_number() OVER (PARTITION BY s, g ORDER BY cost, size, found) AS i FROM f)
+    SELECT s AS start, g AS goal, found, {six("cost")} AS cost, {six("CASE WHEN m > 0 THEN -ln(m) END")} AS direct, coalesce(no, CASE WHEN found IS NULL THEN 'no-bridge' ELSE 'found' END) AS stop FROM z LEFT JOIN (SELECT * FROM o WHERE i = 1) USING (s, g)""",
     "search_relevance": f"WITH {RESULTS}, b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM scored) SELECT query_id, rank::INT AS rank, item_id, {six('score')} AS score FROM b WHERE best < 0.6 OR score >= 0.6",
     "search_interleaved": f"""WITH {RESULTS}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS nth, list_position(['video', 'store', 'stream'], source) AS pl FROM scored),
     p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nth, pl) AS place FROM n WHERE nth <= 4) SELECT query_id, place::INT AS place, source, item_id FROM p WHERE place <= 6""",

@@ -22,7 +22,7 @@ def test_query(spark, sf, name):
     got = queries.QUERIES[name](spark, sf)
     columns = sorted(got.columns)
     rows = sorted(tuple(plain(r[c]) for c in columns) for r in got.collect())
-    assert rows
+    assert rows or name == "mark_orphans"  # all parts are in the smallest library
     if name not in oracle.SQL:
         return
     con = duckdb.connect()
