@@ -39,6 +39,8 @@ from cadenza.llm.shingles import U64, WordHashes, mixed, odd, windows, word_hash
 
 EDGE, MINIMIZER = 13, 5
 SPAN = EDGE - MINIMIZER + 1
+#: Documents whose paths are gathered at once.
+GATHER = 2_000
 #: Where an id is null: before all others.
 NO_ID = -(2**63)
 #: Coordinates hold 16 bits of a hash of the text above the word's place, to tell texts with one id apart.
@@ -72,7 +74,7 @@ def paths(h: np.ndarray) -> tuple[np.ndarray, ...]:
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, part, text -> a row for each path: key, content, id, at (part and start), n, sure (a repeat for certain)."""
     known = WordHashes()
-    for b in batches:
+    for b in (x.slice(i, GATHER) for x in batches for i in range(0, x.num_rows, GATHER)):
         ids, parts = b.column("id").to_numpy(), b.column("part").to_numpy()
         texts = b.column("text")
         found: list[tuple[np.ndarray, ...]] = []
