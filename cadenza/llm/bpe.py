@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 CHUNK, OVERLAP = 32_768, 2_048
 #: Boundaries this near to a chunk's end may depend on what comes after it.
 MARGIN = 8
-ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
+#: Texts that are handled at once in a task.
+AT_ONCE = 1_000
 
 
 @lru_cache(maxsize=2)
@@ -61,7 +62,7 @@ def ranks_file(ranks: str) -> str:
 
 
 def encode_piece(text: str, ranks: str) -> np.ndarray:
-    return np.array(encoder(ranks_file(ranks)).encode_ordinary(text), np.uint32)
+    return encoder(ranks_file(ranks)).encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 
 
 def decode(ids: np.ndarray, ranks: str) -> bytes:
@@ -74,9 +75,13 @@ def decode(ids: np.ndarray, ranks: str) -> bytes:
     return buffer[np.repeat(starts[ids] - (ends - n), n) + np.arange(ends[-1])].tobytes()
 
 
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE))
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
-    """row, piece, text -> row, piece, ids as little-endian 32-bit integers."""
-    for batch in batches:
+    """doc_id, key, piece, text -> doc_id, key, piece, ids as little-endian 32-bit integers."""
+    for batch in few(batches):
         ids = [encode_piece(t or "", ranks).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("piece"), pa.array(ids, pa.binary())], ["doc_id", "key", "piece", "ids"])
 
@@ -146,7 +151,7 @@ def round_trip(encoded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> Data
     """``encode``'s rows with n_tokens, ids_sha256 and decoded_sha256, the digest of the decoded bytes."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             raw = batch.column("ids").to_pylist()
             ids = [np.frombuffer(x, "<u4") for x in raw]
             yield pa.RecordBatch.from_arrays(
