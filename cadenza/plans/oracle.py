@@ -257,4 +257,10 @@ SQL: dict[str, str] = {
     d AS (SELECT *, CASE WHEN f IS NOT NULL THEN f WHEN row_number() OVER (PARTITION BY crate_id, genre_key, f IS NULL, part ORDER BY position, item_id) > 1 THEN 'duplicate' END AS reason FROM e),
     s AS (SELECT crate_id, genre_key, count(*) AS total, count(*) FILTER (reason IS NULL) AS enter, {", ".join(f"count(*) FILTER (reason = '{r}') AS {r.replace('-', '_')}" for r in REASONS)} FROM d GROUP BY ALL)
     SELECT *, max(enter) OVER (PARTITION BY crate_id) >= 2 AS ok FROM s""",
+    "set_ratings": """WITH n AS (SELECT l_orderkey AS set_id, count(*) - 1 AS transitions FROM lineitem GROUP BY ALL),
+    r AS (SELECT l_orderkey AS set_id, min(CASE l_returnflag WHEN 'A' THEN 'ok' WHEN 'N' THEN 'fair' ELSE 'bad' END) AS rating FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY ALL),
+    c AS (SELECT set_id, transitions, (rating IS NOT DISTINCT FROM 'ok')::BIGINT AS ok, (rating IS NOT DISTINCT FROM 'fair')::BIGINT AS fair, (rating IS NOT DISTINCT FROM 'bad')::BIGINT AS bad FROM n LEFT JOIN r USING (set_id))
+    SELECT *, transitions - ok - fair - bad AS unrated FROM c""",
+    "set_listing": f"""WITH {BIG}, {CRATES}, o AS (SELECT crate_id, path, duration, row_number() OVER (PARTITION BY crate_id ORDER BY position, part, file_ok) AS i FROM crates)
+    SELECT crate_id AS set_id, count(*) AS steps, min_by(path, i) AS seed, count(*) FILTER (duration < 90) AS missing FROM o GROUP BY crate_id""",
 }

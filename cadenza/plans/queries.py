@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import keys, quality, tempo, text
 from cadenza.functions.scoring import SetConfig, energy_target, mixability, reason
-from cadenza.operators import bridge, crates, cues, duplicates, evaluation, export, library, names, neighbours, resolve, search, setbuilder, stats
+from cadenza.operators import bridge, crates, cues, duplicates, evaluation, export, identity, library, names, neighbours, resolve, saved, search, setbuilder, stats
 from cadenza.plans import surrogate
 from cadenza.sources import readers
 from cadenza.streaming import watch
@@ -426,3 +426,41 @@ def step_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = lib.where("bpm > 0").join(b, "p_partkey")
     c = F.col
     return met.select("path", F.regexp_replace(reason(c("bpm"), c("key"), c("b"), c("k")), r"^[^%]*% BPM", "").alias("reason"), six(tempo.pitch(c("bpm"), c("b"))).alias("pitch"), six(tempo.distance(c("bpm"), c("b"))).alias("distance"))
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as saved sets, and ratings of most of their transitions."""
+    i = surrogate.crate_items(spark, sf_dir)
+    place = F.row_number().over(W.partitionBy("crate_id").orderBy("position", "part", "file_ok", "bpm_source")) - 1
+    steps = i.select(F.col("crate_id").alias("set_id"), place.alias("position"), "path", "bpm", "key")
+    l = surrogate.table(spark, sf_dir, "lineitem")
+    rating = F.when(F.col("l_returnflag") == "A", "ok").when(F.col("l_returnflag") == "N", "fair").otherwise("bad")
+    ratings = l.where("l_linenumber % 2 = 1").groupBy(F.col("l_orderkey").alias("set_id"), F.lit(1).alias("transition")).agg(F.min(rating).alias("rating"))
+    return steps, ratings
+
+
+@query
+def set_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many transitions of each saved set are rated, and how."""
+    steps, ratings = _saved(spark, sf_dir)
+    return saved.rating_summary(steps, ratings)
+
+
+@query
+def set_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved sets with what their library has lost."""
+    steps, _ = _saved(spark, sf_dir)
+    return saved.listing(steps, surrogate.big_library(spark, sf_dir).where("duration >= 90"))
+
+
+@query
+def identity_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which other part could be the same recording as each part, by name, version and length."""
+    p, i = surrogate.table(spark, sf_dir, "part"), F.col("p_partkey")
+    title = F.concat("p_name", F.when(i % 4 == 0, " (Extended Mix)").when(i % 4 == 1, " (Radio Edit)").otherwise(""))
+    rows = identity.identified(p.select(i.alias("id"), F.col("p_brand").alias("artist"), title.alias("title"), (F.lit(200.0) + i % 50).alias("seconds")))
+    w, c = (rows.select(*(F.col(x).alias(f"{n}_{x}") for x in rows.columns)) for n in ("w", "c"))
+    # Evidence by text needs one title, so candidates meet by it.
+    pairs = w.join(c, (F.col("w_base") == F.col("c_base")) & (F.col("w_id") != F.col("c_id"))).withColumn("isrc", F.lit(False))
+    out = identity.arbitrated(identity.evidence(pairs).withColumnsRenamed({"w_id": "wanted_id", "c_id": "candidate_id"}))
+    return out.select("wanted_id", "candidate_id", "grade", "outcome")
