@@ -1,13 +1,14 @@
-"""What the text operators share: the word rule, table access and lineage cuts."""
+"""What the text operators share: the word rule, folds, table access and lineage cuts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.sources.staging import staged
+
+__all__ = ["WORD", "crc_mod", "n_words", "staged", "table", "words"]
+
 #: A word is a run of anything but ASCII white space. ``bytes.split()`` cuts UTF-8 in the same places.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,30 +32,3 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
     """The fold of a document: crc32 of its id's decimal text, modulo ``n``."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)).cast("int")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only a local session may do without; it gets a temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        if not jsc.isLocal():
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cadenza-"))
-    return jsc.getCheckpointDir().get()
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
-
-    This cuts the lineage: a lost executor costs a reread, not the work before, and several
-    consumers read one result.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

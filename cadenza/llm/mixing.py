@@ -26,6 +26,8 @@ from cadenza.llm.common import n_words, staged
 
 #: The bins that a source's ranks are counted in.
 BINS = 4096
+#: Tables with a row for each source are sent to all tasks up to so many rows, a few MB; beyond, they are joined.
+SENT = 20_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -51,6 +53,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     )
 
 
+def by_source(df: DataFrame, name: str) -> DataFrame:
+    """A table of one row for each source at most, to be joined: sent to all tasks if its count allows."""
+    small = staged(df, name)
+    return F.broadcast(small) if small.count() <= SENT else small
+
+
 def uniform(seed: str, doc_id: Column) -> Column:
     """A number in (0, 1) from 52 bits of a hash of the id; the same in every run."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
@@ -81,7 +89,8 @@ def mix(
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
         .withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
     )
-    s = sources.select(F.col("source").alias("of"), "source_size", "target", "whole", "rest", "p")
+    # Joined by sending it, a hot source's rows stay where they are.
+    s = by_source(sources.select(F.col("source").alias("of"), "source_size", "target", "whole", "rest", "p"), "mix-sources")
     u = uniform(seed, F.col("doc_id"))
     q = (u / (1 - u)) / ((F.col("p") / (1 - F.col("p"))) * F.col("factor"))
     ranked = (
@@ -100,7 +109,7 @@ def mix(
         .select(F.col("of").alias("at"), F.col("bin").alias("last_bin"), "begin")
     )
     # A source whose bins never pass what is left has no last bin; all of its ranks are under it.
-    placed = ranked.join(ends, F.col("of").eqNullSafe(F.col("at")), "left")
+    placed = ranked.join(by_source(ends, "mix-ends"), F.col("of").eqNullSafe(F.col("at")), "left")
     inside = F.col("bin") == F.col("last_bin")
     order = W.partitionBy("of").orderBy("q", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     keep = ["doc_id", "source", "size", "source_size", "target", "whole"]
