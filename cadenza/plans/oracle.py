@@ -122,6 +122,8 @@ OBSERVED = """seen AS (SELECT '/watch/' || (user_id % 50)::VARCHAR || '/' || eve
         (floor(floor(epoch(ts)) / 864000) * 864000)::BIGINT AS mtime, ts FROM events),
     lagged AS (SELECT *, lag(size) OVER o AS s, lag(mtime) OVER o AS m, lead(ts) OVER o IS NULL AS last FROM seen WINDOW o AS (PARTITION BY path ORDER BY ts, mtime, size)),
     stable AS (SELECT path, size, mtime FROM lagged WHERE last AND size > 0 AND size = s AND mtime = m)"""
+ITEMS = "items AS (SELECT DISTINCT ON (crate_id, item_id) * FROM crates ORDER BY crate_id, item_id, file_ok, bpm_rank)"
+_EIGHT = "'8A'"
 REASONS = ("other-genre", "no-file", "no-genre", "analysing", "failed", "not-analysed", "not-a-track", "duplicate")
 
 
@@ -251,8 +253,8 @@ SQL: dict[str, str] = {
     ft AS (SELECT path, k AS size, array_to_string(parts[len(parts) - k + 1:], '/') AS tail FROM fp, range(1, 10) r(k) WHERE k <= len(parts)), wt AS (SELECT location, k AS size, array_to_string(parts[len(parts) - k + 1:], '/') AS tail FROM wp, range(1, 10) r(k) WHERE k <= len(parts)),
     h AS (SELECT location, path, size, max(size) OVER (PARTITION BY location) AS best FROM wt JOIN ft USING (size, tail)), g AS (SELECT location, min(path) AS lo, max(path) AS hi, max(best) AS best FROM h WHERE size = best GROUP BY location)
     SELECT location, CASE WHEN lo IS NULL THEN 'not-found' WHEN lo = hi THEN 'ok' ELSE 'ambiguous' END AS state, CASE WHEN lo = hi THEN lo END AS path, CASE WHEN best > 1 THEN 'tail' WHEN best = 1 THEN 'name' END AS step FROM w LEFT JOIN g USING (location)""",
-    "crate_eligibility": f"""WITH {BIG}, {CRATES}, o AS (SELECT DISTINCT ON (crate_id, item_id) *, lower(genre) AS g, CASE WHEN NOT file_ok THEN 'no-file' WHEN genre IS NULL THEN 'no-genre' WHEN state = 'analysing' THEN 'analysing' WHEN state = 'failed' THEN 'failed'
-    WHEN part % 29 = 0 THEN 'not-analysed' WHEN duration < 90 THEN 'not-a-track' END AS base FROM crates), gs AS (SELECT DISTINCT crate_id, g AS genre_key FROM o WHERE g IS NOT NULL),
+    "crate_eligibility": f"""WITH {BIG}, {CRATES}, {ITEMS}, o AS (SELECT *, lower(genre) AS g, CASE WHEN NOT file_ok THEN 'no-file' WHEN genre IS NULL THEN 'no-genre' WHEN state = 'analysing' THEN 'analysing' WHEN state = 'failed' THEN 'failed'
+    WHEN part % 29 = 0 THEN 'not-analysed' WHEN duration < 90 THEN 'not-a-track' END AS base FROM items), gs AS (SELECT DISTINCT crate_id, g AS genre_key FROM o WHERE g IS NOT NULL),
     e AS (SELECT o.*, genre_key, CASE WHEN g <> genre_key THEN 'other-genre' ELSE base END AS f FROM o JOIN gs USING (crate_id)),
     d AS (SELECT *, CASE WHEN f IS NOT NULL THEN f WHEN row_number() OVER (PARTITION BY crate_id, genre_key, f IS NULL, part ORDER BY position, item_id) > 1 THEN 'duplicate' END AS reason FROM e),
     s AS (SELECT crate_id, genre_key, count(*) AS total, count(*) FILTER (reason IS NULL) AS enter, {", ".join(f"count(*) FILTER (reason = '{r}') AS {r.replace('-', '_')}" for r in REASONS)} FROM d GROUP BY ALL)
@@ -263,4 +265,47 @@ SQL: dict[str, str] = {
     SELECT *, transitions - ok - fair - bad AS unrated FROM c""",
     "set_listing": f"""WITH {BIG}, {CRATES}, o AS (SELECT crate_id, path, duration, row_number() OVER (PARTITION BY crate_id ORDER BY position, part, file_ok) AS i FROM crates)
     SELECT crate_id AS set_id, count(*) AS steps, min_by(path, i) AS seed, count(*) FILTER (duration < 90) AS missing FROM o GROUP BY crate_id""",
+    "crate_copies": f"""WITH {BIG}, {CRATES}, {ITEMS}, w AS (SELECT crate_id % 500 AS new_crate, crate_id, item_id, crate_id % 50 = 0 AND item_id % 7 = 0 AS wrong FROM items WHERE item_id % 3 = 0),
+    g AS (SELECT new_crate FROM w GROUP BY new_crate HAVING NOT bool_or(wrong)) SELECT new_crate AS crate_id, item_id, row_number() OVER (PARTITION BY new_crate ORDER BY item_id) AS position FROM w JOIN g USING (new_crate)""",
+    "crate_additions": f"""WITH {BIG}, {CRATES}, {ITEMS}, s AS (SELECT crate_id, item_id, position, part, CASE WHEN file_ok THEN path END AS path, title || '|' || coalesce(artist, '') AS name FROM items),
+    n AS (SELECT crate_id, item_id AS seq, part + item_id % 2 AS n FROM s), p AS (SELECT crate_id, seq, n, {item("n")} FROM n),
+    i AS (SELECT crate_id, seq, CASE WHEN n % 4 <> 0 THEN path END AS file, title || '|' || coalesce(artist, '') AS name FROM p),
+    f AS (SELECT DISTINCT crate_id, path AS file FROM s WHERE path IS NOT NULL), m AS (SELECT DISTINCT ON (crate_id, name) crate_id, name, item_id, path IS NOT NULL AS filed FROM s ORDER BY crate_id, name, position, item_id),
+    o AS (SELECT i.*, m.item_id, CASE WHEN f.file IS NOT NULL THEN 'known' WHEN m.item_id IS NOT NULL AND NOT (i.file IS NOT NULL AND filed) THEN CASE WHEN i.file IS NULL THEN 'known' ELSE 'completed' END END AS done
+        FROM i LEFT JOIN f ON f.crate_id = i.crate_id AND f.file = i.file LEFT JOIN m ON m.crate_id = i.crate_id AND m.name = i.name),
+    d AS (SELECT *, done IS NULL AND row_number() OVER (PARTITION BY crate_id, done IS NULL, coalesce(file, '|' || name) ORDER BY seq) = 1 AS new FROM o),
+    c AS (SELECT crate_id, item_id, upper(arg_min(file, seq)) AS got FROM d WHERE done = 'completed' GROUP BY ALL), l AS (SELECT crate_id, max(position) AS last FROM s GROUP BY crate_id)
+    SELECT s.crate_id, s.item_id, s.position::BIGINT AS position, coalesce(path, got) AS path FROM s LEFT JOIN c ON c.crate_id = s.crate_id AND c.item_id = s.item_id
+    UNION ALL SELECT crate_id, seq + 1000000000, last + row_number() OVER (PARTITION BY crate_id ORDER BY seq), upper(file) FROM d JOIN l USING (crate_id) WHERE new""",
+    "crate_edits": f"""WITH {BIG}, {CRATES}, {ITEMS}, s AS (SELECT *, NOT file_ok AND part % 3 = 0 AS got, genre IS NULL AND crate_id % 2 = 0 AS filled FROM items)
+    SELECT crate_id, item_id, CASE WHEN item_id % 5 = 0 THEN 0 ELSE position END AS position, CASE WHEN got THEN '/got/' || part || '.mp3' WHEN file_ok THEN path END AS path, CASE WHEN got THEN 'mp3' END AS format, CASE WHEN got THEN 'A' END AS grade,
+    CASE WHEN part % 10 <> 0 THEN duration WHEN got THEN round_even(part % 200 + 0.5, 0)::DOUBLE END AS duration, CASE WHEN filled THEN 'Deep House' ELSE genre END AS genre, filled AS genre_edited FROM s""",
+    "tag_audit": """WITH n(name, n) AS (SELECT unnest(['no artist', 'no title', 'no genre', 'no bpm', 'no key', 'junk in tags', 'junk in name', 'artist in title', 'key own', 'key mixed', 'key serato', 'key external', 'key unknown', 'key none']),
+    unnest([count(*) FILTER (p_partkey % 4 = 0), count(*) FILTER (p_partkey % 5 = 0), count(*) FILTER (p_partkey % 2 = 0), count(*) FILTER (p_partkey % 3 <> 0), count(*) FILTER (p_partkey % 7 = 0), count(*) FILTER (p_partkey % 5 = 1), count(*) FILTER (p_partkey % 6 = 0),
+    count(*) FILTER (p_partkey % 5 IN (0, 2)), count(*) FILTER (p_partkey % 7 = 6), count(*) FILTER (p_partkey % 7 = 3), count(*) FILTER (p_partkey % 7 = 2), count(*) FILTER (p_partkey % 7 = 4), count(*) FILTER (p_partkey % 7 IN (1, 5)), count(*) FILTER (p_partkey % 7 = 0)]) FROM part)
+    SELECT name, n, round(100::DOUBLE * n / (SELECT count(*) FROM part), 6) AS percent FROM n""",
+    "review_counts": f"""WITH {BIG}, r AS (SELECT list_filter([CASE WHEN p_partkey % 8 = 0 THEN 'suspicious' END, CASE WHEN p_partkey % 9 = 0 AND p_partkey > 0 THEN 'duplicate' END, CASE WHEN artist IS NULL OR p_partkey % 14 = 0 THEN 'nameless' END,
+    CASE WHEN duration < 90 THEN 'not-a-track' END], lambda x: x IS NOT NULL) AS reasons FROM big), e AS (SELECT unnest(reasons) AS name FROM r)
+    SELECT 'state' AS kind, CASE WHEN len(reasons) = 0 THEN 'approved' ELSE 'pending' END AS name, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT 'reason', name, count(*) FROM e GROUP BY ALL""",
+    "doubt_notes": f"""WITH {BIG}, n AS (SELECT *, CASE WHEN p_partkey % 29 = 0 THEN NULL WHEN agreement IS NULL OR agreement = '0/3' THEN 'key ?' WHEN agreement <> '3/3' THEN 'key ' || agreement END AS note, CASE WHEN p_partkey % 8 = 7 THEN '1A' ELSE key END AS vote FROM big)
+    SELECT path, CASE WHEN note IS NULL THEN '' WHEN p_partkey % 3 = 0 THEN 'mine | ' || note ELSE note END AS comment,
+    CASE WHEN p_partkey % 23 = 0 THEN NULL WHEN agreement <> '3/3' THEN 'differ' WHEN vote = key THEN 'same' ELSE 'other' END AS votes FROM n""",
+    "applied_decisions": """SELECT CASE WHEN p_partkey % 10 = 0 THEN 'discarded' WHEN p_partkey % 10 = 1 THEN 'pending' WHEN p_partkey % 13 = 0 THEN 'missing' ELSE 'copied' END AS what, count(*) AS n FROM part GROUP BY ALL""",
+    "export_plan": f"""WITH {BIG}, {CRATES}, {MARKS}, {ITEMS}, c AS (SELECT path, count(*) AS marks FROM marks GROUP BY path),
+    s AS (SELECT crate_id, path, coalesce(marks, 0) AS marks, file_ok AND state = 'analysed' AND part % 5 <> 0 AND part % 6 <> 0 AS ready FROM items LEFT JOIN c USING (path)),
+    f AS (SELECT crate_id, path, max(marks) AS marks, count(*) FILTER (ready) AS n FROM s WHERE ready GROUP BY ALL)
+    SELECT crate_id, CASE WHEN count(f.path) > 0 THEN count(f.path)::INT END AS entries, coalesce(sum(f.n), 0)::BIGINT AS ready, any_value(a.n)::BIGINT - coalesce(sum(f.n), 0)::BIGINT AS left_out, coalesce(sum(f.marks), 0)::BIGINT AS marks
+    FROM (SELECT crate_id, count(*) AS n FROM s GROUP BY crate_id) a LEFT JOIN f USING (crate_id) GROUP BY crate_id""",
+    "similar_lists": f"""WITH {BIG}, {CRATES}, {ITEMS}, r AS (SELECT c_nationkey::BIGINT AS seed_id, c_custkey AS artist_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS artist_place FROM customer),
+    a AS (SELECT o_custkey AS artist_id, o_orderkey AS album_id, row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey) AS album_place FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') >= '1996-06-01'),
+    m AS (SELECT seed_id, artist_place, album_place, position, item_id, part, bpm, key FROM r JOIN a USING (artist_id) JOIN items ON crate_id = album_id WHERE artist_place <= 13 AND album_place <= 2 AND position <= 3 AND item_id <> seed_id * 10 AND part % 9 <> 0),
+    u AS (SELECT DISTINCT ON (seed_id, part % 40, part % 300) * FROM m ORDER BY seed_id, part % 40, part % 300, artist_place, album_place, position, item_id),
+    k AS (SELECT *, part % 4 <> 1 AS fits, count(*) FILTER (part % 4 <> 1) OVER (PARTITION BY seed_id) AS n FROM u),
+    q AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY artist_place, album_place, position, item_id) AS rank FROM k WHERE fits OR n < 6),
+    z AS (SELECT *, {six(f"(CASE WHEN {relation(_EIGHT, 'key')} = 'same' THEN 0 WHEN {relation(_EIGHT, 'key')} IN ('neighbour', 'relative') THEN 1 ELSE 2 END) * 1000 + least(CASE WHEN bpm > 0 THEN least(abs(100 + seed_id - bpm), abs(100 + seed_id - bpm * 2), abs(100 + seed_id - bpm * 0.5::DOUBLE)) ELSE 999 END, 40::DOUBLE) * 10 - CASE WHEN album_place = 1 THEN 5 ELSE 0 END")} AS score FROM q WHERE rank <= 30),
+    y AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY score, rank) AS place FROM z) SELECT seed_id, place, item_id AS track_id, score FROM y WHERE place <= 25""",
+    "migrated_library": f"""WITH {BIG}, o AS (SELECT path, CASE WHEN p_partkey % 7 >= 1 THEN (p_partkey % 7 - 1)::DOUBLE END AS rms, p_partkey % 11 AS analysed_at FROM big UNION ALL SELECT upper(path), 5, p_partkey % 13 FROM big WHERE p_partkey % 3 = 0)
+    SELECT DISTINCT ON (lower(path)) lower(path) AS path_key, path, rms, analysed_at, NULL::VARCHAR AS agreement FROM o ORDER BY lower(path), analysed_at DESC, path DESC""",
+    "rebuilt_marks": f"""WITH {BIG}, {MARKS} SELECT CASE WHEN num NOT BETWEEN 0 AND 7 THEN 'pad-range' WHEN kind = 'loop' AND end_ms <= start_ms THEN 'end-before-start' ELSE 'kept' END AS rule, count(*) AS marks FROM marks GROUP BY ALL""",
+    "cache_kept": f"""WITH {BIG}, e AS (SELECT path, p_partkey * 37 % 500 AS mtime, row_number() OVER (ORDER BY p_partkey * 37 % 500 DESC, path) AS place, count(*) OVER () AS n FROM big) SELECT path, mtime FROM e WHERE n <= 1000 OR place <= 900""",
 }

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from cadenza.functions import keys, quality, tempo, text
 from cadenza.functions.scoring import SetConfig, energy_target, mixability, reason
 from cadenza.operators import bridge, crates, cues, duplicates, evaluation, export, identity, library, names, neighbours, resolve, saved, search, setbuilder, stats
-from cadenza.plans import surrogate
+from cadenza.plans import surrogate, upkeep
 from cadenza.sources import readers
 from cadenza.streaming import watch
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(upkeep.QUERIES)
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -181,16 +181,11 @@ def crate_tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def crate_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who enters a set of each genre of each crate, as counts."""
-    e = crates.eligible(_ordered_items(spark, sf_dir))
+    e = crates.eligible(upkeep.ordered_items(spark, sf_dir))
     s = crates.eligibility_summary(e)
     return s.join(crates.can_build(s).select("crate_id", "ok"), "crate_id")
 
 
-def _ordered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crate items once each by crate, position and part; the item's number orders ties."""
-    return surrogate.crate_items(spark, sf_dir).dropDuplicates(["crate_id", "item_id"])
-
-
 @query
 def crate_shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items and families by genre."""
