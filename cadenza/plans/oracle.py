@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.functions import keys, tempo
+from cadenza.functions import keys, signal, tempo, values
 from cadenza.operators.evaluation import THRESHOLDS
 
 
@@ -132,6 +132,10 @@ def _classic() -> str:
     return f"CASE a {' '.join(names)} ELSE '' END"
 
 
+def _tones(profile: tuple[float, ...]) -> str:
+    return f"[{', '.join(f'{x!r}::DOUBLE' for x in profile)}]"
+
+
 SQL: dict[str, str] = {
     "nearest_with_reasons": f"""WITH {LIBRARY}, {CONTEXT},
     e AS (SELECT path, (rank() OVER (ORDER BY energy_raw) - 1)::DOUBLE / count(*) OVER () AS energy FROM library),
@@ -308,4 +312,13 @@ SQL: dict[str, str] = {
     SELECT DISTINCT ON (lower(path)) lower(path) AS path_key, path, rms, analysed_at, NULL::VARCHAR AS agreement FROM o ORDER BY lower(path), analysed_at DESC, path DESC""",
     "rebuilt_marks": f"""WITH {BIG}, {MARKS} SELECT CASE WHEN num NOT BETWEEN 0 AND 7 THEN 'pad-range' WHEN kind = 'loop' AND end_ms <= start_ms THEN 'end-before-start' ELSE 'kept' END AS rule, count(*) AS marks FROM marks GROUP BY ALL""",
     "cache_kept": f"""WITH {BIG}, e AS (SELECT path, p_partkey * 37 % 500 AS mtime, row_number() OVER (ORDER BY p_partkey * 37 % 500 DESC, path) AS place, count(*) OVER () AS n FROM big) SELECT path, mtime FROM e WHERE n <= 1000 OR place <= 900""",
+    "signal_features": f"""WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS y FROM embeddings), p(mode, profile, first) AS (VALUES ('B', {_tones(signal.MAJOR_PROFILE)}, 8), ('A', {_tones(signal.MINOR_PROFILE)}, 5)),
+    e AS (SELECT vec_id, ((first + 7 * t - 1) % 12 + 1)::VARCHAR || mode AS key, corr(abs(y[(t + j) % 12 + 1]), profile[j + 1]) AS score FROM c, p, range(12) a(t), range(12) b(j) GROUP BY ALL),
+    k AS (SELECT vec_id, arg_max(key, (score, key)) AS key, round_even(greatest(max(score), 0), 3) AS confidence FROM e GROUP BY vec_id)
+    SELECT vec_id, key, confidence, round(sqrt(list_sum(list_transform(y, lambda x: x * x)) / len(y)), 6) AS rms, round(list_max(y[17:24]), 6) AS peak,
+    round(list_sum(list_transform(y[2:], lambda x, i: greatest(x - y[i], 0::DOUBLE))), 6) AS rise FROM c JOIN k USING (vec_id)""",
+    "shown_values": f"""WITH {BIG} SELECT path, round_even(bpm / 8::DOUBLE * 1000, 0)::BIGINT AS ms, CASE WHEN p_partkey > 0 THEN round(p_partkey * 250 / 1000::DOUBLE, 1) END AS seconds, round_even(p_partkey % 200 / 200::DOUBLE * 100, 0)::INT AS percent,
+    CASE p_partkey % 3 WHEN 1 THEN '{values.LOOP_COLOUR}' WHEN 2 THEN ({list(values.PAD_COLOURS)})[p_partkey % 8 + 1] END AS colour,
+    lpad((p_partkey % 100)::VARCHAR, 3, ' ') || '  ' || lpad(printf('%.1f', bpm), 6, ' ') || '  ' || rpad(key, 3, ' ') || '  ' || lpad(round_even(p_partkey % 200 / 200::DOUBLE * 100, 0)::INT::VARCHAR, 3, ' ') || '%  ' || title AS line,
+    CASE WHEN artist IS NULL THEN 'x - ' || title ELSE title END AS alone, 'C:/a b+c/' || p_partkey || '.mp3' AS local, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'a/' || title ELSE 'b/' || title END AS relative FROM big""",
 }
