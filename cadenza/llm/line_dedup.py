@@ -13,7 +13,8 @@ deleted. To find them:
    where it stands, so a group of copies costs its size, never its pairs.
 4. The lines of windows that aren't the first of their kind are deleted.
 
-All lines count, empty ones too, as they stand.
+All lines count, empty ones too, as they stand. Where lines are whole paragraphs, ``words`` lets shorter
+runs count too, if they have that many words in all: windows of fewer lines join the others then.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import staged
+from cadenza.llm.common import n_words, staged
 
 #: The least number of lines in a row that are deleted.
 RUN = 3
+#: Words from which a run of fewer lines counts too, where that is asked for.
+LONG = 50
 
 
 def lines(text: str | Column) -> Column:
@@ -36,50 +39,59 @@ def _key() -> list[Column]:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("part")]
 
 
-def selected(docs: DataFrame, run: int = RUN) -> DataFrame:
+def selected(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """doc_id, part, at, print, windows: the selected lines of each document, each with the windows
-    (start and hash) that selected it."""
-    hashes = docs.select(*_key(), F.transform(lines("text"), lambda x: F.xxhash64(x)).alias("h"))
-    hashes = hashes.where(F.size("h") >= run)
-    each = F.transform(
-        F.sequence(F.lit(0), F.size("h") - run),
-        lambda i: F.struct(
+    (start, number of lines and hash) that selected it."""
+    long = [] if words is None else [F.transform(lines("text"), lambda x: n_words(x).cast("int")).alias("k")]
+    hashes = docs.select(*_key(), F.transform(lines("text"), lambda x: F.xxhash64(x)).alias("h"), *long)
+
+    def window(i: Column, n: int) -> Column:
+        return F.struct(
             i.alias("start"),
-            F.array_position(F.slice("h", i + 1, run), F.array_min(F.slice("h", i + 1, run))).cast("int").alias("least"),
-            F.xxhash64(F.lit(1), F.slice("h", i + 1, run)).alias("a"),
-            F.xxhash64(F.lit(2), F.slice("h", i + 1, run)).alias("b"),
-        ),
-    )
-    windows = hashes.select("doc_id", "part", "h", F.explode(each).alias("w"))
+            F.lit(n).alias("n"),
+            F.array_position(F.slice("h", i + 1, n), F.array_min(F.slice("h", i + 1, n))).cast("int").alias("least"),
+            F.xxhash64(F.lit(1), F.slice("h", i + 1, n)).alias("a"),
+            F.xxhash64(F.lit(2), F.slice("h", i + 1, n)).alias("b"),
+        )
+
+    def every(n: int) -> Column:
+        starts = F.when(F.size("h") >= n, F.sequence(F.lit(0), F.size("h") - n)).otherwise(F.array().cast("array<int>"))
+        if n < run:
+            starts = F.filter(starts, lambda i: sum((F.element_at("k", i + 1 + j) for j in range(n)), F.lit(0)) >= words)
+        return F.transform(starts, lambda i: window(i, n))
+
+    each = F.concat(*map(every, range(1 if long else run, run + 1)))
+    windows = hashes.where(F.lit(bool(long)) | (F.size("h") >= run)).select("doc_id", "part", "h", F.explode(each).alias("w"))
     at = F.col("w.start") + F.col("w.least") - 1
-    placed = windows.select("doc_id", "part", at.alias("at"), F.element_at("h", at + 1).alias("print"), "w.start", "w.a", "w.b")
+    placed = windows.select("doc_id", "part", at.alias("at"), F.element_at("h", at + 1).alias("print"), "w.start", "w.n", "w.a", "w.b")
     return placed
 
 
-def repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, part, start: windows of ``run`` lines that stand at an earlier place too."""
-    windows = staged(selected(docs, run), "lines-selected")
+def repeats(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """doc_id, part, start, n: windows (of n lines) that stand at an earlier place too."""
+    windows = staged(selected(docs, run, words), "lines-selected")
     places = windows.select("print", F.struct("doc_id", "part", "at").alias("place"))
     again = places.groupBy("print").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select(F.col("print").alias("again"))
     candidates = windows.join(again, F.col("print") == F.col("again"), "left_semi")
-    candidates = staged(candidates.select("doc_id", "part", "start", "a", "b"), "lines-candidates")
+    candidates = staged(candidates.select("doc_id", "part", "start", "n", "a", "b"), "lines-candidates")
     first = candidates.groupBy("a", "b").agg(F.min(F.struct("doc_id", "part", "start")).alias("first"), F.max(F.struct("doc_id", "part", "start")).alias("last")).where("first <> last")
     first = first.select(F.col("a").alias("fa"), F.col("b").alias("fb"), "first")
     met = candidates.join(first, (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")))
-    return met.where(F.struct("doc_id", "part", "start") > F.col("first")).select("doc_id", "part", "start")
+    return met.where(F.struct("doc_id", "part", "start") > F.col("first")).select("doc_id", "part", "start", "n")
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """``docs`` with n_lines, n_removed and kept (its text without later repeated runs of lines).
 
-    Null and empty texts have one empty line, texts of fewer than ``run`` lines lose none. Null ids
+    With ``words``, runs of fewer lines go too if they have at least that many words in all. Without,
+    texts of fewer than ``run`` lines lose none. Null and empty texts have one empty line. Null ids
     come first. Rows that agree in id and text are one document and get the same result; of rows
     with one id and several texts, that of lower hash is the earlier. Columns of ``docs`` with the
     names of results are dropped. An empty table gives an empty result.
     """
     docs = docs.drop("n_lines", "n_removed", "kept", "_d", "_p", "_gone", "_lines")
-    starts = repeats(docs, run).groupBy("doc_id", "part").agg(F.collect_set("start").alias("starts"))
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1))))
+    starts = repeats(docs, run, words).groupBy("doc_id", "part").agg(F.collect_set(F.struct("start", "n")).alias("starts"))
+    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s.start, s.start + s.n - 1))))
     gone = starts.select(F.col("doc_id").alias("_d"), F.col("part").alias("_p"), gone.alias("_gone"))
     key = _key()
     met = docs.join(gone, key[0].eqNullSafe(F.col("_d")) & (key[1] == F.col("_p")), "left").withColumn("_lines", lines("text"))

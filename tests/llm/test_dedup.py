@@ -48,6 +48,16 @@ def test_lines_of_few_kinds(spark, texts):
     assert got == brute_lines(rows, line_dedup.RUN)
 
 
+def test_short_runs_of_many_words(spark):
+    long, two, half = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 50), ("b", 49), ("c", 25)))
+    texts = [long, long, two, two, f"{half}\n{half}x", f"q\n{half}\n{half}x\nr", f"{half}\nr", f"{long}\n\n{long}", "", ""]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.kept) for r in line_dedup.dedup_lines(df, words=line_dedup.LONG).collect()}
+    assert got == {0: (0, long), 1: (1, ""), 2: (0, two), 3: (0, two), 4: (0, texts[4]), 5: (2, "q\nr"), 6: (0, texts[6]), 7: (2, ""), 8: (0, ""), 9: (0, "")}
+    assert all(r.n_removed == 0 for r in line_dedup.dedup_lines(df).collect())
+
+
 def brute_words(rows):
     docs = {(i if i is not None else ORDER): words(t) for i, t in rows}
     first = {}
