@@ -96,6 +96,13 @@ def test_sets_by_joins_are_the_same(lib):
     assert a == b
 
 
+@pytest.mark.parametrize(("where", "config"), [("path < '/m/006'", SetConfig(length=7)), ("path < '/m/020'", SetConfig(length=7, randomness=0.8, seed=4)), ("path IN ('/m/001', '/m/019')", SetConfig(length=3)), ("path IN ('/m/001', '/m/002', '/m/007')", SetConfig(length=4))])
+def test_sets_by_joins_end_the_same(lib, where, config):
+    some = lib.where(where).withColumn("bpm", F.when(F.col("path") == "/m/004", 90.0).otherwise(F.greatest("bpm", F.lit(124.0))))
+    a, b = ({(r.seed, r.position): (r.path, r.stop, None if r.score is None else round(r.score, 9)) for r in f(some.select("path"), some, config).collect()} for f in (setbuilder.build, setbuilder.build_by_joins))
+    assert a == b and any(stop not in (None, "complete") for _, stop, _ in a.values())
+
+
 def test_random_sets_repeat_by_seed(lib):
     seeds = lib.where("path < '/m/003'").select("path")
     one, two, other = (setbuilder.build(seeds, lib, SetConfig(length=10, randomness=1.0, seed=s)).collect() for s in (1, 1, 2))
