@@ -1,13 +1,17 @@
 """Cheapest bridges: from one item to another over a given number of others.
 
 A hop costs -ln(mixability); hops beyond the tempo gate don't exist. All pairs of ends are solved
-together, hop by hop: the frontier has, for each pair and item, its cheapest few paths so far, and
-each round joins it with the edges. Keeping ``WIDTH`` paths lets a path that would visit an item
-twice give way to the next; ``exact`` says whether that sufficed for sure.
+together, hop by hop: the frontier has, for each pair and item, its paths so far, and each round joins
+it with the edges. A path is dropped only if, whatever items follow, one of the cheaper paths kept has
+none of them; so the result is exact. Of paths over p items, with r more to follow at most, no more
+than (p + r choose p) are kept so, which is 10 for each pair and item at up to ``LONGEST`` items.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,9 +21,8 @@ from cadenza.operators.library import is_track
 from cadenza.operators.neighbours import mixable_pairs
 from cadenza.sources.staging import staged
 
-#: Paths kept for each pair, hop and item.
-WIDTH = 8
 LONGEST = 6
+FRONTIER = "start string, goal string, at string, cost double, path array<string>"
 
 
 def hop_costs(library: DataFrame) -> DataFrame:
@@ -28,7 +31,41 @@ def hop_costs(library: DataFrame) -> DataFrame:
     return pairs.select("from_path", "to_path", (-F.log("mix")).alias("cost"))
 
 
-def bridges(pairs: DataFrame, library: DataFrame, low: int = 3, high: int = 4, width: int = WIDTH) -> DataFrame:
+def of_use(used: frozenset, kept: list[frozenset], rest: int) -> bool:
+    """Whether some ``rest`` items, none of them in ``used``, meet each of ``kept``: then only the path over ``used`` can go on by them."""
+
+    def met(left: list[frozenset], n: int) -> bool:
+        return not left or (n > 0 and any(met([s for s in left if x not in s], n - 1) for x in left[0]))
+
+    return met([k - used for k in kept], rest)
+
+
+def pruned(step: DataFrame, between: int, rest: int) -> DataFrame:
+    """The paths, over ``between`` items before the last, that some ``rest`` items may need."""
+    text = F.array_join("path", "\n")
+    if between < 2 or rest == 0:
+        # One item is avoided by the next path, so as many are needed as may follow, and one more.
+        best = W.partitionBy("start", "goal", "at").orderBy("cost", text)
+        return step.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= (rest + 1 if between else 1)).drop("_n")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, kept = None, []
+        for batch in batches:
+            good = []
+            for start, goal, at, path in zip(batch["start"], batch["goal"], batch["at"], batch["path"], strict=True):
+                if (start, goal, at) != group:
+                    group, kept = (start, goal, at), []
+                used = frozenset(path[1:-1])
+                good.append(of_use(used, kept, rest))
+                if good[-1]:
+                    kept.append(used)
+            yield batch[good]
+
+    dealt = step.select("start", "goal", "at", "cost", "path").repartition("start", "goal", "at")
+    return dealt.sortWithinPartitions("start", "goal", "at", "cost", text).mapInPandas(run, FRONTIER)
+
+
+def bridges(pairs: DataFrame, library: DataFrame, low: int = 3, high: int = 4) -> DataFrame:
     """start, goal, found (path array from start to goal), cost, direct (cost of one hop, null if gated), stop.
 
     ``pairs`` has start and goal. stop: found, same, fragment, no-tempo, or no-bridge. Between them stand
@@ -55,8 +92,7 @@ def bridges(pairs: DataFrame, library: DataFrame, low: int = 3, high: int = 4, w
             break
         step = state.join(edges, F.col("at") == F.col("from_path")).where(~F.array_contains("path", F.col("to_path")) & (F.col("to_path") != F.col("goal")))
         step = step.select("start", "goal", F.col("to_path").alias("at"), (state["cost"] + edges["cost"]).alias("cost"), F.concat("path", F.array("to_path")).alias("path"))
-        best = W.partitionBy("start", "goal", "at").orderBy("cost", F.array_join("path", "\n"))
-        state = staged(step.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= width).drop("_n"), "bridge-frontier")
+        state = staged(pruned(step, hop - 1, high - hop), "bridge-frontier")
     best = W.partitionBy("start", "goal").orderBy("cost", F.size("path"), F.array_join("path", "\n"))
     chosen = reached.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n").withColumnRenamed("path", "found")
     out = asked.join(chosen, ["start", "goal"], "left")

@@ -133,6 +133,30 @@ def test_bridges_by_definition(spark, lib):
     assert {r.stop for r in bridge.bridges(odd, lib, 0, 1).collect()} == {"same", "fragment", "no-tempo"}
 
 
+def test_bridges_whose_cheap_hub_comes_last(spark):
+    tracks = [("S", 99.5, "12B"), ("G", 108.5, "3A"), ("h", 100.0, None), *((f"t{k}", 99.5, k) for k in ("1A", "4A", "7A", "10A", "2B", "5B", "8B", "11B"))]
+    df = spark.createDataFrame([(*t, 300.0) for t in tracks], "path string, bpm double, key string, duration double")
+    at = {t[0]: t for t in tracks}
+    cost = lambda a, b: -math.log(m) if (m := float(setbuilder.tempo_scores(at[a][1], np.array([at[b][1]]))[0]) * setbuilder.key_compat(at[a][2], at[b][2]) ** 0.6) > 0 else math.inf
+    best = min(sum(cost(x, y) for x, y in itertools.pairwise(("S", *mid, "G"))) for mid in itertools.permutations([t for t in at if t not in "SG"], 4))
+    r = bridge.bridges(spark.createDataFrame([("S", "G")], "start string, goal string"), df, 4, 4).first()
+    assert r.stop == "found" and r.found[-2] == "h" and len(set(r.found)) == 6 and math.isclose(r.cost, best, abs_tol=1e-9)
+
+
+def test_frontier_serves_every_rest():
+    draw = np.random.default_rng(5)
+    for p, rest in ((2, 1), (2, 2), (3, 2)):
+        family = [frozenset(draw.choice(7, p, replace=False).tolist()) for _ in range(40)]
+        kept = []
+        for one in family:
+            if bridge.of_use(one, kept, rest):
+                kept.append(one)
+        assert len(kept) <= math.comb(p + rest, p)
+        for r in itertools.combinations(range(7), rest):
+            first = lambda sets: next((s for s in sets if not s & set(r)), None)
+            assert first(family) == first(kept)
+
+
 def test_components(spark):
     draw = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in draw.integers(0, 300, (180, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
