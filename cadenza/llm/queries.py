@@ -17,39 +17,12 @@ PROBE = r"\### Assistant: </turn> ok"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its later repeated runs of lines, as a digest."""
+    """Every document without its later repeated runs of 3 lines or 50 words, as a digest."""
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-def op1_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, where repeated runs of one or two lines go too if they have 50 words or more."""
-    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), words=line_dedup.LONG)
-    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
-
-
-OP1_SQL = """
-WITH parts AS (
-    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
-), windows AS (
-    SELECT doc_id, unnest(range(1, len(l) - 1)) AS start, l FROM parts WHERE len(l) >= 3
-), keyed AS (
-    SELECT doc_id, start, l[start:start + 2] AS w FROM windows
-), ranked AS (
-    SELECT doc_id, start, row_number() OVER (PARTITION BY w ORDER BY doc_id, start) AS nth FROM keyed
-), gone AS (
-    SELECT DISTINCT doc_id, start + unnest([0, 1, 2]) AS line FROM ranked WHERE nth > 1
-), cut AS (
-    SELECT doc_id, list(line) AS lines FROM gone GROUP BY doc_id
-), kept AS (
-    SELECT p.doc_id, l, coalesce(len(lines), 0) AS n_removed,
-           list_filter(l, lambda x, i: NOT list_contains(coalesce(lines, []), i)) AS k
-    FROM parts p LEFT JOIN cut c USING (doc_id)
-)
-SELECT doc_id, len(l)::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, sha256(array_to_string(k, chr(10))) AS kept_sha256 FROM kept
-"""
-
-OP1_WORDS_SQL = f"""
+OP1_SQL = f"""
 WITH parts AS (
     SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
 ), counted AS (
@@ -57,7 +30,7 @@ WITH parts AS (
 ), windows AS (
     SELECT doc_id, n, unnest(range(1, len(l) - n + 2)) AS start, l, k FROM counted, (VALUES (1), (2), (3)) AS t(n) WHERE len(l) >= n
 ), keyed AS (
-    SELECT doc_id, n, start, l[start:start + n - 1] AS w FROM windows WHERE n = 3 OR list_sum(k[start:start + n - 1]) >= {line_dedup.LONG}
+    SELECT doc_id, n, start, l[start:start + n - 1] AS w FROM windows WHERE n = 3 OR list_sum(k[start:start + n - 1]) >= {line_dedup.WORDS}
 ), ranked AS (
     SELECT doc_id, n, start, row_number() OVER (PARTITION BY w ORDER BY doc_id, start) AS nth FROM keyed
 ), gone AS (
@@ -257,7 +230,6 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
-    "op1_line_dedup_words": op1_line_dedup_words,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_ngram_join": op4_ngram_join,
@@ -270,7 +242,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
-    "op1_line_dedup_words": OP1_WORDS_SQL,
     "op2_substring_dedup": OP2_SQL,
     "op4_ngram_join": OP4_SQL,
     "op6_chat_formatting": OP6_SQL,
