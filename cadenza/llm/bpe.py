@@ -30,6 +30,8 @@ CHUNK, OVERLAP = 32_768, 2_048
 MARGIN = 8
 #: Texts that are handled at once in a task.
 AT_ONCE = 1_000
+PIECES = "doc_id bigint, key string, piece bigint, ids binary"
+DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
 @lru_cache(maxsize=2)
@@ -125,46 +127,58 @@ def stitched(long: DataFrame) -> DataFrame:
     return joined.select("doc_id", "key", "piece", "text")
 
 
-def encode(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit): one row for each row of ``docs``.
-
-    Null and empty texts have no ids. Rows with the same id, or a null id, stay separate rows. Other
-    columns of ``docs`` are ignored. An empty table gives an empty result.
-    """
+def _split(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of texts of one chunk (doc_id, key, piece, text), and of longer ones (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     is_long = F.length("text") > CHUNK + OVERLAP
-    shape = "doc_id bigint, key string, piece bigint, ids binary"
     short = rows.where(~is_long).select("doc_id", F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("piece"), "text")
-    done = short.mapInArrow(lambda b: _pieces(b, ranks), shape).select("doc_id", "ids")
+    return short, rows.where(is_long)
+
+
+def _encode_long(long: DataFrame, ranks: str) -> DataFrame:
     # Rows that agree in id and text are encoded once and counted; a hash of the text tells rows of one id apart.
-    long = rows.where(is_long).withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.col("text").cast("binary"), 256)))
+    long = long.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.col("text").cast("binary"), 256)))
     once = long.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
-    encoded = stitched(once.select("doc_id", "key", "text")).mapInArrow(lambda b: _pieces(b, ranks), shape)
+    encoded = stitched(once.select("doc_id", "key", "text")).mapInArrow(lambda b: _pieces(b, ranks), PIECES)
     times = once.select(F.col("key").alias("of"), "times")
     whole = encoded.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("p"))
     whole = whole.join(times, F.col("key") == F.col("of")).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    ids = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x.ids))
-    return done.unionByName(whole.select("doc_id", ids.alias("ids")))
-
-
-def round_trip(encoded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """``encode``'s rows with n_tokens, ids_sha256 and decoded_sha256, the digest of the decoded bytes."""
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in few(batches):
-            raw = batch.column("ids").to_pylist()
-            ids = [np.frombuffer(x, "<u4") for x in raw]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
-                    pa.array([hashlib.sha256(decode(x, ranks)).hexdigest() for x in ids], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return encoded.select("doc_id", "ids").mapInArrow(digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return whole.select("doc_id", F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x.ids)).alias("ids"))
+
+
+def encode(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """doc_id, ids (binary, little-endian unsigned 32-bit): one row for each row of ``docs``.
+
+    Null and empty texts have no ids. Rows with the same id, or a null id, stay separate rows. Other
+    columns of ``docs`` are ignored. An empty table gives an empty result.
+    """
+    short, long = _split(docs)
+    return short.mapInArrow(lambda b: _pieces(b, ranks), PIECES).select("doc_id", "ids").unionByName(_encode_long(long, ranks))
+
+
+def _digests(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
+    for batch in few(batches):
+        raw = batch.column("ids").to_pylist()
+        ids = [np.frombuffer(x, "<u4") for x in raw]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
+                pa.array([hashlib.sha256(decode(x, ranks)).hexdigest() for x in ids], pa.string()),
+            ],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+
+def round_trip(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (of the decoded bytes): ``encode``'s rows, decoded again.
+
+    Texts of one chunk are encoded and decoded in one pass, so a task has one Python worker.
+    """
+    short, long = _split(docs)
+    done = short.mapInArrow(lambda b: _digests(_pieces(b, ranks), ranks), DIGESTS)
+    return done.unionByName(_encode_long(long, ranks).mapInArrow(lambda b: _digests(b, ranks), DIGESTS))
 
 
 def decoded(encoded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:

@@ -77,7 +77,7 @@ FROM texts LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again, as digests."""
-    return bpe.round_trip(bpe.encode(table(spark, sf_dir, "documents")))
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
