@@ -7,26 +7,32 @@ Pivots split the data into cells, each row in the cell of its nearest pivot. A s
 
 A query is first solved in the cell with the highest bound; the k-th score found there is a lower
 bound of its final k-th score. It then goes only to cells whose bound reaches this, and is solved
-there locally. Cells with many rows are split into blocks by a hash of the id, so one very common
-vector doesn't fill one task. Vectors are integers; scores are exact as long as they fit in 53 bits.
+there locally. Pivots grow with the square root of the rows. A cell's rows, and the queries sent to it,
+are dealt into blocks by a hash, and a task solves a pair of blocks, so neither one very common vector
+nor a cell that most queries reach fills a task. Vectors are integers; scores are exact as long as they
+fit in 53 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import staged
 
-#: Pivots are this many rows of lowest hash; rows of a block are about so many.
-PIVOTS, BLOCK = 64, 8_192
-SCORES = "query_id bigint, vec_id bigint, score bigint"
+#: Pivots are rows of lowest hash: a quarter of the root of the number of rows, within these bounds.
+PIVOTS, MOST_PIVOTS = 64, 4_096
+#: Rows, and queries, of a block, about.
+BLOCK, ASKED = 8_192, 4_096
+#: Distances or scores that a task works out at once.
+AT_ONCE = 2_000_000
 
 
 def integers(df: DataFrame, scale: int = 256) -> DataFrame:
@@ -46,102 +52,132 @@ def padded(vectors: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-def best(queries: pd.DataFrame, data: pd.DataFrame, k: int, width: int) -> pd.DataFrame:
-    """The k best rows of ``data`` for each query, itself left out; ties to the smaller id."""
-    q, x = padded(list(queries["v"]), width), padded(list(data["v"]), width)
-    ids = data["vec_id"].to_numpy(np.int64)
+def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """A column of vectors as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if len(column) and (pa.compute.list_value_length(column).to_numpy() == width).all():
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return padded([np.asarray(v) for v in column.to_pylist()], width)
+
+
+def best(own: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of q, id and score of the k best rows of x for each query, rows with its own id left out; ties to the smaller id."""
     order = np.argsort(ids, kind="stable")
     x, ids = x[order], ids[order]
-    out = []
-    for at in range(0, len(q), 256):
-        scores = q[at : at + 256] @ x.T
-        own = queries["vec_id"].to_numpy(np.int64)[at : at + 256]
-        scores[own[:, None] == ids[None, :]] = -np.inf
-        for row, query_id in zip(scores, own, strict=True):
+    rows, found, scores = [], [], []
+    step = max(1, AT_ONCE // max(1, len(x)))
+    for at in range(0, len(q), step):
+        every = q[at : at + step] @ x.T
+        every[own[at : at + step, None] == ids[None, :]] = -np.inf
+        for i, row in enumerate(every):
             # All rows as good as the k-th best, so that ties are settled by id.
             floor = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
             at_least = np.flatnonzero((row >= floor) & (row > -np.inf))
             top = at_least[np.argsort(-row[at_least], kind="stable")][:k]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[top], "score": row[top].astype(np.int64)}))
-    return pd.concat(out, ignore_index=True)
-
-
-def _solve(k: int, width: int):
-    def solve(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or data.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        return best(queries, data, k, width)
-
-    return solve
+            rows.append(np.full(len(top), at + i))
+            found.append(ids[top])
+            scores.append(row[top])
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(scores).astype(np.int64)
 
 
-def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best other rows of ``data`` (vec_id, v) for each of ``queries``.
+def top_k(queries: DataFrame, data: DataFrame, k: int = 5, pivots: int | None = None, block: int = BLOCK, asked: int = ASKED) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best other rows of ``data`` (vec_id, v) for each row of ``queries``.
 
-    All other rows if there are fewer than k. Scores are of v as it is; vectors of several lengths
-    are compared as if short ones ended in zeros. Rows that share an id are one row (the first by
-    vector). Empty tables give an empty result.
+    All other rows if there are fewer than k. Ids may repeat: every row of ``data`` is a candidate of
+    its own, but for those with the query's id, and every row of ``queries`` is a query of its own;
+    their results share a query_id then. Scores are of v as it is; vectors of several lengths are
+    compared as if short ones ended in zeros. Empty tables give an empty result.
     """
-    data = staged(data.groupBy("vec_id").agg(F.min("v").alias("v")), "topk-rows")
-    asked = staged(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "topk-queries")
-    # The pivots and the summaries are small by parameter: at most ``pivots`` of each.
-    chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toPandas()
-    if chosen.empty:
-        return data.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    width = max(data.agg(F.max(F.size("v"))).first()[0], asked.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0])
+    spark = data.sparkSession
+    # No query can return more than k of a row's equals.
+    counted = data.groupBy("vec_id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("times"))
+    data = staged(counted.select(F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("nth"), "vec_id", "v"), "topk-rows")
+    queries = staged(queries.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times")).withColumn("of", F.xxhash64("vec_id", "v")), "topk-queries")
+    size = data.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    width = max(size[1], queries.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0])
+    if not size[0]:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    # The pivots and the summaries of cells are bounded: MOST_PIVOTS of each.
+    n_pivots = pivots or min(max(PIVOTS, isqrt(size[0]) // 4), MOST_PIVOTS)
+    chosen = data.where("nth = 1").select("vec_id", "v").orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(n_pivots).toPandas()
     centres = np.unique(padded(list(chosen["v"]), width), axis=0)
     squares = (centres**2).sum(1)
+    step = max(1, AT_ONCE // len(centres))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = padded([np.asarray(v) for v in b.column("v").to_pylist()], width)
+        for b in (x.slice(i, step) for x in batches for i in range(0, x.num_rows, step)):
+            x = matrix(b.column("v"), width)
             far = np.maximum((x**2).sum(1)[:, None] + squares[None, :] - 2 * x @ centres.T, 0)
-            cell = far.argmin(1) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(np.sqrt(far[np.arange(len(x)), cell]))], ["vec_id", "v", "cell", "far"])
+            cell = far.argmin(1)
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float64())) if width else b.column("v")
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("nth"), vectors, pa.array(cell.astype(np.int32)), pa.array(np.sqrt(far[np.arange(len(x)), cell]))], ["vec_id", "nth", "v", "cell", "far"])
 
-    celled = staged(data.mapInArrow(assign, "vec_id bigint, v array<double>, cell int, far double"), "topk-cells")
+    celled = staged(data.select("vec_id", "nth", "v").mapInArrow(assign, "vec_id bigint, nth bigint, v array<double>, cell int, far double"), "topk-cells")
     summary = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).orderBy("cell").toPandas()
     cells, sizes, radii = (summary[c].to_numpy() for c in ("cell", "n", "radius"))
     blocks = np.maximum(1, -(-sizes // block)).astype(int)
-    n_blocks = F.element_at(F.create_map(*(F.lit(int(x)) for pair in zip(cells, blocks, strict=True) for x in pair)), F.col("cell"))
-    placed = celled.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int")).select("vec_id", "v", "cell", "block")
 
-    def bounds(x: np.ndarray) -> np.ndarray:
-        """The highest score that each cell can give; a little more, for rounding."""
-        return (x @ centres[cells].T + np.sqrt((x**2).sum(1))[:, None] * radii[None, :]) * (1 + 1e-9) + 1e-3
+    def sent(b: pa.RecordBatch, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the batch and cells that they go to. Bounds are raised a little, for rounding."""
+        x = matrix(b.column("v"), width)
+        limit = (x @ centres[cells].T + np.sqrt((x**2).sum(1))[:, None] * radii[None, :]) * (1 + 1e-9) + 1e-3
+        own = np.zeros(limit.shape, bool)
+        own[np.arange(len(x)), limit.argmax(1)] = True
+        if not first:
+            least = b.column("least").to_numpy(zero_copy_only=False).astype(float)
+            own = ~own & (limit >= np.where(np.isnan(least), -np.inf, least)[:, None])
+        return np.nonzero(own)
+
+    def solved(asking: DataFrame, first: bool) -> DataFrame:
+        """What the queries find in the cells that they go to."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(cells), np.int64)
+            for b in (x.slice(i, step) for x in batches for i in range(0, x.num_rows, step)):
+                total += np.bincount(sent(b, first)[1], minlength=len(cells))
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total)], ["cell", "n"])
+
+        visits = asking.mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        of_cell = dict(zip(visits["cell"], visits["n"], strict=True))
+        sides = np.maximum(1, [-(-int(of_cell.get(c, 0)) // asked) for c in cells]).astype(int)
 
-    def send(first: bool, schema: list[str]):
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = padded([np.asarray(v) for v in b.column("v").to_pylist()], width)
-                if not len(x):
-                    continue
-                limit = bounds(x)
-                home = limit.argmax(1)
-                own = np.zeros(limit.shape, bool)
-                own[np.arange(len(x)), home] = True
-                if not first:
-                    least = np.array([-np.inf if s is None else s for s in b.column("least").to_pylist()])
-                    own = ~own & (limit >= least[:, None])
-                row, col = np.nonzero(own)
+            for b in (x.slice(i, step) for x in batches for i in range(0, x.num_rows, step)):
+                row, col = sent(b, first)
+                side = b.column("of").to_numpy()[row] % sides[col]
                 times = blocks[col]
-                row, col = np.repeat(row, times), np.repeat(col, times)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("v").take(take), pa.array(cells[col].astype(np.int32)), pa.array(at.astype(np.int32))], schema)
-
-        return route
-
-    shape, names = "vec_id bigint, v array<double>, cell int, block int", ["vec_id", "v", "cell", "block"]
-    local = _solve(k, width)
-
-    def solved(sent: DataFrame) -> DataFrame:
-        return sent.groupBy("cell", "block").cogroup(placed.groupBy("cell", "block")).applyInPandas(local, SCORES)
-
-    home = staged(solved(asked.mapInArrow(send(True, names), shape)), "topk-home")
-    by = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    kth = home.withColumn("rank", F.row_number().over(by)).where(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("score").alias("least"))
-    bounded = asked.join(kth, F.col("vec_id") == F.col("of"), "left").select("vec_id", "v", "least")
-    rest = solved(bounded.mapInArrow(send(False, names), shape))
+                at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                take, col, side = pa.array(np.repeat(row, times)), np.repeat(col, times), np.repeat(side, times)
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(c).take(take) for c in ("vec_id", "of", "v")), pa.array(cells[col].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(side.astype(np.int32))], ["vec_id", "of", "v", "cell", "block", "side"]
+                )
+
+        # One row for each cell, so it is sent to all tasks.
+        split = F.broadcast(spark.createDataFrame([(int(c), int(n), int(m)) for c, n, m in zip(cells, blocks, sides, strict=True)], "at int, blocks int, sides int"))
+        dealt = celled.join(split, F.col("cell") == F.col("at")).withColumn("block", F.pmod(F.xxhash64("vec_id", "nth", "v"), F.col("blocks")).cast("int"))
+        dealt = dealt.select("vec_id", "v", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"))
+
+        def local(asked_: pa.Table, rows: pa.Table) -> pa.Table:
+            if asked_.num_rows and rows.num_rows:
+                own, of = (asked_.column(c).to_numpy() for c in ("vec_id", "of"))
+                row, ids, score = best(own, matrix(asked_.column("v"), width), rows.column("vec_id").to_numpy(), matrix(rows.column("v"), width), k)
+            else:
+                own = of = row = ids = score = np.zeros(0, np.int64)
+            return pa.table({"query_id": own[row], "of": of[row], "vec_id": ids, "score": score})
+
+        routed = asking.mapInArrow(route, "vec_id bigint, of bigint, v array<double>, cell int, block int, side int")
+        keys = ("cell", "block", "side")
+        return routed.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(local, "query_id bigint, of bigint, vec_id bigint, score bigint")
+
+    each = ("query_id", "of")
+    by = W.partitionBy(*each).orderBy(F.col("score").desc(), "vec_id")
+    home = staged(solved(queries.select("vec_id", "of", "v"), True), "topk-home")
+    kth = home.withColumn("rank", F.row_number().over(by)).where(F.col("rank") == k).select(F.col("query_id").alias("kth_id"), F.col("of").alias("kth_of"), F.col("score").cast("double").alias("least"))
+    bounded = staged(queries.join(kth, (F.col("vec_id") == F.col("kth_id")) & (F.col("of") == F.col("kth_of")), "left").select("vec_id", "of", "v", "least"), "topk-bounded")
+    rest = solved(bounded, False)
     found = home.unionByName(rest).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    # A query row that occurs several times has as many results.
+    more = queries.where("times > 1").select(F.col("vec_id").alias("more_id"), F.col("of").alias("more_of"), "times")
+    found = found.join(more, (F.col("query_id") == F.col("more_id")) & (F.col("of") == F.col("more_of")), "left")
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1).cast("long")))))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -171,11 +171,12 @@ def test_mixed_rows_repeat_as_taken(messy):
 
 
 def brute_top(q, d, k):
-    out = {}
-    for i, v in q.items():
-        scored = sorted((-int(sum(a * b for a, b in zip(v, w, strict=False))), j) for j, w in d.items() if j != i)[:k]
-        out[i] = [(r + 1, j, -s) for r, (s, j) in enumerate(scored)]
-    return out
+    """Of lists of (id, vector): each query row's results, sorted."""
+    out = []
+    for i, v in q:
+        scored = sorted((-int(sum(a * b for a, b in zip(v, w, strict=False))), j) for j, w in d if j != i)[:k]
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    return sorted(out)
 
 
 def test_top_k_by_definition(spark):
@@ -183,15 +184,18 @@ def test_top_k_by_definition(spark):
     v = draw.normal(size=(400, 8)).round(2)
     v[100:180] = v[100]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [1.0, float("nan")] + [0.0] * 6), (902, [float("inf")] * 8), (903, []), (None, [1.0] * 8), (904, [None] + [1.0] * 7), (905, [1.0, 2.0])]
+    rows += [(0, v[7].tolist()), (5, v[5].tolist()), (5, v[5].tolist()), (11, v[100].tolist())] + [(12, v[12].tolist())] * 9  # ids and rows that repeat
     df = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(0)))
-    whole = {i: [math.floor(256 * c) for c in x] for i, x in [*rows[:400], rows[-1]]}
-    q = {i: x for i, x in whole.items() if i % 5 == 0}
-    got = topk.top_k(df.where("vec_id % 5 = 0"), df, 5, pivots=16, block=20).collect()
-    by = {i: sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == i) for i in q}
-    assert by == brute_top(q, whole, 5)
+    whole = [(i, [math.floor(256 * c) for c in x]) for i, x in rows if i is not None and x and all(c is not None and math.isfinite(c) for c in x)]
+    want = brute_top([x for x in whole if x[0] % 5 == 0], whole, 5)
+    for options in ({"pivots": 16, "block": 20, "asked": 7}, {}):
+        assert sorted(tuple(r) for r in topk.top_k(df.where("vec_id % 5 = 0"), df, 5, **options).collect()) == want
     few = df.where("vec_id < 3")
-    assert topk.top_k(few, few, 5).count() == 6
-    assert topk.top_k(df.where("false"), df.where("false")).count() == 0
+    assert topk.top_k(few, few, 5).count() == len(brute_top([x for x in whole if x[0] < 3], [x for x in whole if x[0] < 3], 5))
+    assert topk.top_k(df.where("false"), df.where("false")).count() == 0 == topk.top_k(df.where("false"), df).count()
+    small = spark.createDataFrame([(50, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.1, 0.0])], "vec_id long, embedding array<double>")
+    ids = topk.integers(small)
+    assert [tuple(r) for r in topk.top_k(ids.where("vec_id = 50"), ids).orderBy("rank").collect()] == [(50, 1, 1, 65536), (50, 2, 1, 32768), (50, 3, 2, 6400)]
 
 
 def auc(label, score):
