@@ -2,7 +2,7 @@
 
 Chat data comes in many layouts. A layout is known by its fingerprint, a hash of its nested field
 paths; each known fingerprint selects a declarative mapping to canonical turns (conv_id, turn,
-role, text). ``turns`` converts a table by the fingerprint of its schema, ``json_turns`` a column
+role, text). A table with a row for each turn is one layout among these. ``turns`` converts a table by the fingerprint of its schema, ``json_turns`` a column
 of JSON records, each by its own fingerprint. ``formatted`` renders turns by a template that marks
 each turn and escapes control strings reversibly, with the character spans of the loss mask;
 ``read_back`` parses the text again.
@@ -66,8 +66,14 @@ def canonical(role: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.lower(role)), role)
 
 
+def _row(get: Callable[[str], Column]) -> Column:
+    """A record that is one turn. Its role stays as it is."""
+    return F.array(F.struct(get("turn").cast("long").alias("turn"), get("role").alias("role"), get("text").alias("text")))
+
+
 #: Field paths of a record -> its turns. ``get`` gives a field's column.
 LAYOUTS: dict[tuple[str, ...], Callable[[Callable[[str], Column]], Column]] = {
+    ("role", "text", "turn"): _row,
     ("prompt", "response"): _pair(("prompt", "user"), ("response", "assistant")),
     ("prompt", "completion"): _pair(("prompt", "user"), ("completion", "assistant")),
     ("question", "answer"): _pair(("question", "user"), ("answer", "assistant")),
@@ -78,9 +84,12 @@ LAYOUTS: dict[tuple[str, ...], Callable[[Callable[[str], Column]], Column]] = {
     ("conversations[].from", "conversations[].value"): _messages("conversations", "from", "value"),
     ("turns[].role", "turns[].text"): _messages("turns", "role", "text"),
 }
-#: The layout with a row for each turn.
-BY_TURN = ("role", "text", "turn")
+#: Fingerprint -> paths and mapping.
 MAPPINGS = {fingerprint(list(k)): (k, f) for k, f in LAYOUTS.items()}
+#: The paths that any layout has; others don't count.
+KNOWN = sorted({p for k in LAYOUTS for p in k})
+#: Layouts from most paths to fewest: for records whose known paths are no layout's, but contain one.
+LARGEST = sorted(LAYOUTS, key=lambda k: (-len(k), k))
 #: The types in which JSON records of a layout are read.
 JSON_TYPES = {
     "messages": "array<struct<role:string,content:string>>",
@@ -90,46 +99,66 @@ JSON_TYPES = {
 
 
 def turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
-    """conv_id, turn, role, text from a table whose schema, without ``conv_id``, has a known fingerprint.
+    """conv_id, turn, role, text from a table, by the mapping that its schema's fingerprint selects.
 
-    If the whole schema is unknown, a layout all of whose paths it has is taken, the one with the
-    most paths; other columns are ignored then, whatever their names. Raises ValueError if none fits.
+    The fingerprint is that of the paths, without ``conv_id``, that any layout knows; other columns and
+    fields are ignored, whatever their names. If no layout has exactly these, the largest one that they
+    contain is taken. Raises ValueError if there is none.
     """
-    found = [p for p in paths(df.schema) if p != conv_id]
-    if fingerprint(found) == fingerprint(list(BY_TURN)) or set(BY_TURN) <= set(found):
-        return df.select(F.col(conv_id).alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    known = MAPPINGS.get(fingerprint(found)) or max((x for x in MAPPINGS.values() if set(x[0]) <= set(found)), key=lambda x: len(x[0]), default=None)
-    if known is None:
-        raise ValueError(f"no mapping for the field paths {sorted(found)}")
-    made = df.select(F.col(conv_id).alias("conv_id"), known[1](lambda c: F.col(c)).cast(TURN).alias("t"))
+    found = [p for p in paths(df.schema) if p != conv_id and p in KNOWN]
+    chosen = MAPPINGS.get(fingerprint(found)) or next(((k, LAYOUTS[k]) for k in LARGEST if set(k) <= set(found)), None)
+    if chosen is None:
+        raise ValueError(f"no mapping for the field paths {sorted(paths(df.schema))}")
+    made = df.select(F.col(conv_id).alias("conv_id"), chosen[1](lambda c: F.col(c)).cast(TURN).alias("t"))
     return made.select("conv_id", F.inline("t"))
 
 
-def json_turns(df: DataFrame, record: str = "record", conv_id: str = "conv_id") -> DataFrame:
-    """conv_id, fingerprint, turn, role, text from JSON records, each by its own fingerprint.
-
-    A record's paths are its keys and, for an array of objects, the keys of its first object.
-    Records that aren't JSON objects or have no known layout give one row with null turn, role
-    and text, so they can be counted.
-    """
-    raw = F.col(record)
-    keys = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
-    known = sorted(JSON_TYPES)
-    below = [F.when(F.array_contains(keys, k), F.coalesce(F.json_object_keys(F.get_json_object(raw, f"$.{k}[0]")), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")) for k in known]
+def _json_paths(raw: Column) -> Column:
+    """The field paths of a JSON record: its keys and, for arrays of objects, the keys of all their objects."""
+    none = F.array().cast("array<string>")
+    keys = F.coalesce(F.json_object_keys(raw), none)
+    each = [
+        F.when(F.array_contains(keys, k), F.flatten(F.transform(F.coalesce(F.from_json(F.get_json_object(raw, f"$.{k}"), "array<string>"), none), lambda x: F.coalesce(F.json_object_keys(x), none)))).otherwise(none)
+        for k in sorted(JSON_TYPES)
+    ]
 
     def prefixed(k: str, names: Column) -> Column:
         return F.transform(names, lambda x: F.concat(F.lit(f"{k}[]."), x))
 
-    nested = [prefixed(k, b) for k, b in zip(known, below, strict=True)]
-    plain = F.filter(keys, lambda x: ~x.isin(known))
-    found = F.array_sort(F.array_distinct(F.concat(plain, *nested)))
+    nested = [prefixed(k, x) for k, x in zip(sorted(JSON_TYPES), each, strict=True)]
+    return F.array_sort(F.array_distinct(F.concat(F.filter(keys, lambda x: ~x.isin(*JSON_TYPES)), *nested)))
+
+
+def _digest(found: Column) -> Column:
+    return F.substring(F.sha2(F.array_join(found, "\n"), 256), 1, 16)
+
+
+def json_layouts(df: DataFrame, record: str = "record", conv_id: str = "conv_id") -> DataFrame:
+    """conv_id, record, fingerprint (of all its paths), layout: one row for each JSON record.
+
+    ``layout`` is the fingerprint of the mapping that it selects, as ``turns`` does for tables; null if
+    there is none or the record isn't a JSON object, so that such records can be counted.
+    """
+    read = df.select(F.col(conv_id).alias("conv_id"), F.col(record).alias("record"), _json_paths(F.col(record)).alias("found"))
+    read = read.withColumn("known", F.array_intersect("found", F.array(*map(F.lit, KNOWN))))
+    layout = F.when(_digest(F.col("known")).isin(*MAPPINGS), _digest(F.col("known")))
+    for k in LARGEST:
+        layout = F.coalesce(layout, F.when(F.size(F.array_except(F.array(*map(F.lit, k)), "known")) == 0, F.lit(fingerprint(list(k)))))
+    return read.select("conv_id", "record", _digest(F.col("found")).alias("fingerprint"), layout.alias("layout"))
+
+
+def json_turns(df: DataFrame, record: str = "record", conv_id: str = "conv_id") -> DataFrame:
+    """conv_id, fingerprint, turn, role, text from JSON records, each by its own fingerprint.
+
+    Records without a mapping give no rows; ``json_layouts`` counts them.
+    """
     names = sorted({p for k in LAYOUTS for p in k if "[]" not in p})
     schema = ", ".join([*(f"`{n}` string" for n in names), *(f"`{k}` {v}" for k, v in JSON_TYPES.items())])
-    read = df.select(F.col(conv_id).alias("conv_id"), F.substring(F.sha2(F.array_join(found, "\n"), 256), 1, 16).alias("fingerprint"), F.from_json(raw, schema).alias("r"))
+    read = json_layouts(df, record, conv_id).where("layout IS NOT NULL").select("conv_id", "fingerprint", "layout", F.from_json("record", schema).alias("r"))
     made = F.lit(None).cast(TURN)
     for k, (_, f) in MAPPINGS.items():
-        made = F.when(F.col("fingerprint") == k, f(lambda c: F.col(f"r.{c}")).cast(TURN)).otherwise(made)
-    return read.select("conv_id", "fingerprint", F.inline_outer(made))
+        made = F.when(F.col("layout") == k, f(lambda c: F.col(f"r.{c}")).cast(TURN)).otherwise(made)
+    return read.select("conv_id", "fingerprint", F.inline(made))
 
 
 def escaped(text: Column) -> Column:

@@ -7,10 +7,13 @@ replacement: document i gets the rank
 
     Q_i = (U_i / (1 - U_i)) / (p_i / (1 - p_i))
 
-with U_i from a hash of its id and p_i its inclusion probability (the source's fraction that is
-left, its odds multiplied by the document's preference if a column of these is named), and a source
-takes its lowest ranks up to the size in words that is left. The size is fixed in words, not in
-documents, so a source misses its target by half of one document at most.
+with U_i from a hash of its id and size, and p_i its inclusion probability: the odds of the source's
+fraction that is left, multiplied by the document's own factor. That is a named column of preferences,
+or the root of its size over the source's mean size: cutting text at a document's start and end costs
+context, so a mix favours long documents, but not in proportion. A source takes its lowest ranks up to
+the size in words that is left. A common factor of a source's odds doesn't change its ranks, so fixing
+the size normalises them. It is fixed in words, not in documents, so a source misses its target by half
+of one document at most.
 
 No source passes through one task: ranks are counted in bins, and only the bin in which a source's
 sample ends is sorted.
@@ -31,7 +34,7 @@ SENT = 20_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """(source, source_size) -> source, source_size, weight, target. One row per source, null last.
+    """(source, source_size, n) -> source, source_size, n, weight, target. One row per source, null last.
 
     Sources in code point order weigh ``weights``, repeated. With sources in order of cap / weight,
     the level of water L_j = (all - caps before j) / (weights from j) holds from the first j on
@@ -49,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
         .withColumn("level", F.col("left").cast("double") / F.sum("weight").over(after))
         .withColumn("order", F.row_number().over(by))
         .withColumn("level", F.min_by("level", F.when(F.col("level") * F.col("weight") <= limit, F.col("order"))).over(every))
-        .select("source", "source_size", "weight", F.least(F.col("level") * F.col("weight"), limit.cast("double")).alias("target"))
+        .select("source", "source_size", "n", "weight", F.least(F.col("level") * F.col("weight"), limit.cast("double")).alias("target"))
     )
 
 
@@ -59,9 +62,9 @@ def by_source(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(small) if small.count() <= SENT else small
 
 
-def uniform(seed: str, doc_id: Column) -> Column:
-    """A number in (0, 1) from 52 bits of a hash of the id; the same in every run."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def uniform(seed: str, doc_id: Column, size: Column) -> Column:
+    """A number in (0, 1) from 52 bits of a hash of id and size; the same in every run."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), size.cast("string")).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
 
 
@@ -76,13 +79,13 @@ def mix(
     """doc_id, source, size, source_size, target, copies, taken: one row for each row of ``docs``.
 
     Null texts and texts without words have size 0 and take nothing. A null source is one source.
-    Rows with the same id share their U; ties go by id (null first), then size, so equal rows are
+    Rows with the same id and size share their U; ties go by id (null first), then size, so equal rows are
     interchangeable. Other columns of ``docs`` are ignored. An empty table gives an empty result.
-    ``preference``: a column of positive factors of the inclusion odds.
+    ``preference``: a column of positive factors of the inclusion odds, instead of those by size.
     """
-    factor = F.col(preference).cast("double") if preference else F.lit(1.0)
+    factor = F.col(preference).cast("double") if preference else F.lit(None).cast("double")
     sized = staged(docs.select("doc_id", "source", n_words("text").alias("size"), factor.alias("factor")), "mix-sizes")
-    sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
+    sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, cap)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = (
         sources.withColumn("whole", F.floor(share))
@@ -90,9 +93,10 @@ def mix(
         .withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
     )
     # Joined by sending it, a hot source's rows stay where they are.
-    s = by_source(sources.select(F.col("source").alias("of"), "source_size", "target", "whole", "rest", "p"), "mix-sources")
-    u = uniform(seed, F.col("doc_id"))
-    q = (u / (1 - u)) / ((F.col("p") / (1 - F.col("p"))) * F.col("factor"))
+    s = by_source(sources.select(F.col("source").alias("of"), "source_size", "n", "target", "whole", "rest", "p"), "mix-sources")
+    u = uniform(seed, F.col("doc_id"), F.col("size"))
+    own = F.sqrt(F.greatest("size", F.lit(1)).cast("double") * F.col("n") / F.greatest("source_size", F.lit(1)))
+    q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")) * F.coalesce("factor", own))
     ranked = (
         sized.join(s, F.col("source").eqNullSafe(F.col("of")))
         .withColumn("q", F.when(F.col("p") > 0, q))
@@ -132,10 +136,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     copies are dealt by row number, so each number is used once.
     """
     taken = mix(docs, **options).where("copies > 0")
-    same = ("doc_id", "source", "size")
-    dealt = taken.groupBy(*(F.col(c).alias(f"_{c}") for c in same)).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    rows = docs.withColumn("_n", n_words("text"))
-    turn = F.row_number().over(W.partitionBy("doc_id", "source", "_n").orderBy(*(F.col(c) for c in docs.columns)))
-    match = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    out = rows.withColumn("_turn", turn).join(dealt, match).withColumn("_times", F.get(F.col("_copies"), F.col("_turn") - 1))
-    return out.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    dealt = taken.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
+    dealt = dealt.select(F.struct("doc_id", "source", "size").alias("of"), "copies")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct("doc_id", "source", n_words("text").alias("size")).alias("key"))
+    rows = rows.withColumn("turn", F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("row"))))
+    match = F.col("key.doc_id").eqNullSafe(F.col("of.doc_id")) & F.col("key.source").eqNullSafe(F.col("of.source")) & (F.col("key.size") == F.col("of.size"))
+    out = rows.join(dealt, match).withColumn("times", F.get("copies", F.col("turn") - 1))
+    return out.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")

@@ -118,9 +118,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, and conversation -7, rendered, parsed again and digested."""
-    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    rows = chat.turns(table(spark, sf_dir, "conversations")).unionByName(probe)
+    """Every conversation, and conversation -7, rendered, parsed again and digested. The two tables have different layouts."""
+    said = F.array(*(F.struct(F.lit(role).alias("role"), F.lit(PROBE).alias("content")) for role in ("user", "assistant")))
+    probe = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), said.alias("messages"))
+    rows = chat.turns(table(spark, sf_dir, "conversations")).unionByName(chat.turns(probe))
     back = chat.read_back(chat.formatted(rows))
     each = F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
     return back.select(
@@ -176,7 +177,7 @@ OP9_SQL = rf"""
 WITH sized AS (
     SELECT doc_id, source, CAST(len({SQL_WORDS}) AS BIGINT) AS size FROM documents
 ), by_source AS (
-    SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+    SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM sized GROUP BY source
 ), named AS (
     SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place FROM by_source
 ), weighed AS (
@@ -189,18 +190,18 @@ WITH sized AS (
 ), water AS (
     SELECT min_by(level, ord) FILTER (level * weight <= lim) AS level FROM levels
 ), targets AS (
-    SELECT source, source_size, least(w.level * weight, lim::DOUBLE) AS target FROM levels, water w
+    SELECT source, source_size, n, least(w.level * weight, lim::DOUBLE) AS target FROM levels, water w
 ), shares AS (
     SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets
 ), rests AS (
     SELECT *, target - whole * source_size AS rest,
            CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p FROM shares
 ), ranked AS (
-    SELECT d.*, r.source_size, r.target, r.whole, r.rest, r.p,
-           (CAST('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+    SELECT d.*, r.source_size, r.target, r.whole, r.rest, r.p, sqrt(greatest(d.size, 1)::DOUBLE * r.n / greatest(r.source_size, 1)) AS factor,
+           (CAST('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || d.size), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
     FROM sized d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source
 ), odds AS (
-    SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM ranked
+    SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p) * factor) END AS q FROM ranked
 ), summed AS (
     SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM odds
 ), taken AS (

@@ -113,12 +113,40 @@ def test_layouts_by_fingerprint(spark):
     assert [(r.role, r.text) for r in chat.turns(m).collect()] == [("user", "q"), ("assistant", "a")]
     with pytest.raises(ValueError):
         chat.turns(spark.sql("SELECT 1L AS conv_id, 2 AS other"))
-    records = ['{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', '{"instruction":"do","input":"this","output":"done"}', '{"prompt":"q","response":"a"}', "not json", '{"what":1}', None]
-    rows = chat.json_turns(spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")).collect()
-    by = {i: [(r.role, r.text) for r in sorted((r for r in rows if r.conv_id == i), key=lambda r: r.turn or 0)] for i in range(6)}
-    assert by[0] == by[2] == [("user", "q"), ("assistant", "a")]
+    records = [
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}',
+        '{"instruction":"do","input":"this","output":"done"}',
+        '{"prompt":"q","response":"a"}',
+        '{"id":4,"source":"x","messages":[{},{"role":"user","content":"q","weight":1},{"role":"assistant","content":"a"}]}',
+        '{"prompt":"q","response":"a","answer":"other"}',
+        '{"turn":"3","role":"tool","text":"t"}',
+        "not json",
+        '{"what":1}',
+        "[1]",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")
+    rows = chat.json_turns(df).collect()
+    by = {i: [(r.role, r.text) for r in sorted((r for r in rows if r.conv_id == i), key=lambda r: r.turn or 0)] for i in range(len(records))}
+    assert by[0] == by[2] == by[4] == [("user", "q"), ("assistant", "a")]
     assert by[1] == [("user", "do\n\nthis"), ("assistant", "done")]
-    assert by[3] == by[4] == by[5] == [(None, None)]
+    assert by[3] == [(None, None), ("user", "q"), ("assistant", "a")] and by[5] == [("tool", "t")]
+    unknown = chat.json_layouts(df).where("layout IS NULL").groupBy("fingerprint").count().collect()
+    assert sum(r["count"] for r in unknown) == 4 and not any(by[i] for i in (6, 7, 8, 9))
+    assert chat.json_turns(df.where("false")).count() == 0
+
+
+def test_the_fingerprint_decides(spark, monkeypatch):
+    """The same columns are other turns under another mapping of their fingerprint, and none without."""
+    df = spark.createDataFrame([(1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    assert [tuple(r) for r in chat.turns(df).collect()] == [(1, 0, "user", "q")]
+    key = chat.fingerprint(["role", "text", "turn"])
+    monkeypatch.setitem(chat.MAPPINGS, key, (("role", "text", "turn"), chat._pair(("role", "system"), ("text", "user"))))
+    assert [tuple(r) for r in chat.turns(df).collect()] == [(1, 0, "system", "user"), (1, 1, "user", "q")]
+    monkeypatch.delitem(chat.MAPPINGS, key)
+    monkeypatch.setattr(chat, "LARGEST", [])
+    with pytest.raises(ValueError):
+        chat.turns(df)
 
 
 def brute_targets(sizes):
@@ -160,9 +188,22 @@ def test_mix_by_definition(spark, messy, none, bins):
     assert mixing.mix(none).count() == 0
 
 
+def test_odds_differ_within_a_source(spark):
+    """Of one source, half of its words are taken; longer documents have higher inclusion odds."""
+    rows = [(i, "w " * (10 if i % 2 else 160), s) for s in "ab" for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df.withColumn("half", F.lit(1.0)), weights=(1, 3)).where("source = 'a'").toPandas()
+    rate = got.groupby("size")["copies"].mean()
+    assert abs(got["taken"].sum() - got["target"].iloc[0]) <= 80 and got["target"].iloc[0] == got["size"].sum() / 2
+    odds = rate / (1 - rate)
+    assert 3.2 < odds[160] / odds[10] < 4.8  # the root of 16
+    even = mixing.mix(df.withColumn("half", F.lit(1.0)), weights=(1, 3), preference="half").where("source = 'a'").toPandas().groupby("size")["copies"].mean()
+    assert abs(even[160] - even[10]) < 0.06
+
+
 def test_mixed_rows_repeat_as_taken(messy):
-    rows = mixing.mixed(messy)
-    assert rows.columns == messy.columns
+    rows = mixing.mixed(messy.selectExpr("*", "1 AS row", "2 AS key", "3 AS turn", "4 AS copies"))
+    assert rows.columns == [*messy.columns, "row", "key", "turn", "copies"]
     got = Counter(r.doc_id for r in rows.collect())
     want = Counter()
     for r in mixing.mix(messy).collect():
