@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,11 +14,27 @@ from pyspark.sql import types as T
 
 #: Words that name a version of a track; fixed values.
 VERSION = r"(?i)\b(original\s+mix|extended\s+mix|edit|preview|remix|bootleg|master(v\d+)?|vip|dub|radio\s+edit)\b"
-#: Words that say nothing about which track it is.
-STOP_WORDS = ("official", "video", "audio", "lyrics", "lyric", "hd", "hq", "ft", "feat", "the", "and", "mix", "original", "extended")
+#: Words that say nothing about which track it is; fixed values. Words of versions (mix, remix, edit) aren't among them, as a remix is another track.
+STOP_WORDS = (
+    "official", "video", "oficial", "audio", "lyric", "lyrics", "letra", "hd", "hq",
+    "4k", "mv", "m", "v", "remaster", "remastered", "explicit", "clip", "visualizer",
+    "feat", "ft", "featuring", "con", "the", "a", "el", "la", "los", "las", "de", "del",
+    "y", "and", "x", "vs", "full", "free", "download", "out", "now", "premiere",
+)
 CONTROLS = r"[\x00-\x1f\x7f​-‏ -‮⁠﻿]"
-#: Genre families by what their names hold; the first that fits; fixed order.
-FAMILIES = (("techno", "techno"), ("house", "house"), ("trance", "trance"), ("drum", "drum and bass"), ("dubstep", "bass"), ("reggaeton", "latin"), ("latin", "latin"), ("pop", "pop"), ("rock", "rock"), ("hip hop", "urban"), ("rap", "urban"))
+#: Genre families by what their names hold; the first that fits; fixed values in a fixed order.
+FAMILIES = (
+    ("electronic", ("dance", "electro", "techno", "house", "trance", "dubstep", "drum", "dnb", "edm", "electronic", "hardstyle", "hardcore", "rave", "progressive", "big room", "garage", "breakbeat")),
+    ("rap", ("rap", "hip hop", "hip-hop", "hiphop", "trap", "drill")),
+    ("pop", ("pop",)),
+    ("rock", ("rock", "metal", "punk", "indie", "alternative", "grunge")),
+    ("latin", ("latin", "reggaeton", "salsa", "cumbia", "bachata", "merengue", "tango")),
+    ("rnb", ("r&b", "rnb", "soul", "funk")),
+    ("jazz", ("jazz", "blues")),
+    ("reggae", ("reggae", "dancehall", "ska")),
+    ("classical", ("classical", "clásica")),
+    ("folk", ("folk", "country", "acoustic")),
+)
 
 
 def squeezed(text: Column) -> Column:
@@ -76,10 +94,11 @@ def genre_key(genre: Column) -> Column:
 
 
 def genre_family(genre: Column) -> Column:
-    key = F.lower(F.coalesce(genre, F.lit("")))
-    out = F.lit("other")
-    for part, family in reversed(FAMILIES):
-        out = F.when(F.contains(key, F.lit(part)), family).otherwise(out)
+    """The broad family of a genre; null if there is no genre, "other" if none fits."""
+    key = F.lower(genre)
+    out = F.when(key != "", "other")
+    for family, parts in reversed(FAMILIES):
+        out = F.when(reduce(or_, [F.contains(key, F.lit(p)) for p in parts]), family).otherwise(out)
     return out
 
 

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.text import counting_key, stem, versions, without_version
 
-CATALOGUE = r"^[A-Z]{2,6}[0-9]{2,5}\s*-\s*"
+#: A catalogue number in front: "001 - A - T", "[ABC002] - A - T"; fixed pattern.
+CATALOGUE = r"(?i)^\s*[\[\(]?\s*[A-Z]{0,6}\s*\d{2,4}\s*[\]\)]?\s*[-–—]\s+"
 SEPARATOR = r"\s+[-–—]\s+"
-#: What sources leave in names: pattern and why it goes; fixed values.
+#: What sources leave in names: pattern, what stands for it and why it goes; fixed values, one after another.
 LEFTOVERS = (
-    (r"(?i)\bwww\.\S+", "site"),
-    (r"(?i)\[[^\]]*(free download|official)[^\]]*\]", "advertising"),
-    (r"\s*\(\d+\)\s*$", "copy number"),
-    (r"(?i)\s*-?\s*copy\s*$", "copy"),
-    (r"_", "underscores"),
-    (r"\s{2,}", "spaces"),
+    (r"(?i)\s*myfreemp3\.vip\s*", "", "download site"),
+    (r"(?i)\s*\(\s*cut\s*\)\s*", " ", "cut"),
+    (r"\s*\(\d+\)\s*$", "", "copy number"),
+    (r"(?i)\s*\b(official|oficial)\s+(music\s+)?(video|audio)\b\s*", " ", "official video"),
+    (r"(?i)\s*\bfree\s*download\b\s*", " ", "free download"),
 )
 
 
@@ -32,11 +32,11 @@ def sides(files: DataFrame) -> DataFrame:
 
 def tidy(text):
     """(cleaned, reasons) of a name without what sources leave in it."""
-    reasons = F.filter(F.array(*(F.when(text.rlike(p), F.lit(why)) for p, why in LEFTOVERS)), lambda x: x.isNotNull())
-    out = text
-    for p, _ in LEFTOVERS:
-        out = F.regexp_replace(out, p, " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"^[\s\-–—_]+|[\s\-–—_]+$", "")), reasons
+    out, found = text, []
+    for pattern, instead, why in LEFTOVERS:
+        found.append(F.when(out.rlike(pattern), F.lit(why)))
+        out = F.regexp_replace(out, pattern, instead)
+    return F.regexp_replace(F.regexp_replace(out, r"\s{2,}", " "), r"^[ \-–—_]+|[ \-–—_]+$", ""), F.array_compact(F.array(*found))
 
 
 def oriented(files: DataFrame) -> DataFrame:

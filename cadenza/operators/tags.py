@@ -18,7 +18,8 @@ ALIASES = {
 }
 #: Leftovers of where a file came from; fixed patterns.
 JUNK = (
-    ("download site", r"(?i)myfreemp3|\bmp3teca|mp3xd|descargar\b"),
+    ("download site (named in the text)", r"(?i)myfreemp3"),
+    ("download site", r"(?i)\bmp3teca|mp3xd|descargar\b"),
     ("official video", r"(?i)\b(official|oficial)\s+(music\s+)?(video|audio)\b"),
     ("free download", r"(?i)\bfree\s*download\b"),
     ("no copyright", r"(?i)\bno\s*copyright\b"),

@@ -112,7 +112,7 @@ COMPARED = f"""measured AS (SELECT lower(substr(path, 6)) AS file, {_EST} AS est
 _LIMITS = ", ".join(f"('{m}', '{o}', {b!r}::DOUBLE)" for m, o, b in THRESHOLDS)
 _CLASSES = ", ".join(f"({i}, '{c}')" for i, c in enumerate(tempo.CLASSES))
 _TOKENS = """list_sort(list_filter(list_distinct(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[\\(\\[\\{{].*?[\\)\\]\\}}]', ' ', 'g'), '[^0-9a-záéíóúüñ\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')),
-        lambda w: len(w) > 1 AND w NOT IN ('official', 'video', 'audio', 'lyrics', 'lyric', 'hd', 'hq', 'ft', 'feat', 'the', 'and', 'mix', 'original', 'extended')))"""
+        lambda w: len(w) > 1 AND w NOT IN ('official', 'video', 'oficial', 'audio', 'lyric', 'lyrics', 'letra', 'hd', 'hq', '4k', 'mv', 'm', 'v', 'remaster', 'remastered', 'explicit', 'clip', 'visualizer', 'feat', 'ft', 'featuring', 'con', 'the', 'a', 'el', 'la', 'los', 'las', 'de', 'del', 'y', 'and', 'x', 'vs', 'full', 'free', 'download', 'out', 'now', 'premiere')))"""
 RESULTS = f"""raw AS (SELECT l_orderkey AS query_id, l_linenumber AS line, l_suppkey AS supplier, l_partkey AS item_id, p_name || ' ' || p_brand AS named,
         (['store', 'stream', 'video'])[l_suppkey % 3 + 1] AS source FROM lineitem JOIN part ON l_partkey = p_partkey),
     asked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY line, supplier, item_id, source) AS rank, min(named) OVER (PARTITION BY query_id) AS asked FROM raw),
@@ -139,7 +139,7 @@ def _tones(profile: tuple[float, ...]) -> str:
 SQL: dict[str, str] = {
     "nearest_with_reasons": f"""WITH {LIBRARY}, {CONTEXT},
     e AS (SELECT path, (rank() OVER (ORDER BY energy_raw) - 1)::DOUBLE / count(*) OVER () AS energy FROM library),
-    dots AS (SELECT a.path AS seed, b.path, list_dot_product(a.v, b.v) AS s FROM unit a JOIN unit b ON a.path <> b.path),
+    dots AS (SELECT a.path AS seed, b.path, list_dot_product(a.v, b.v) AS s FROM unit a JOIN unit b ON a.path <> b.path JOIN library f ON f.path = b.path WHERE f.duration >= 90),
     near AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY s DESC, path) AS rank FROM dots)
     SELECT seed, rank::INT AS rank, near.path, {six("s")} AS similarity, {six("energy")} AS energy, {six(mix("a.bpm", "a.key", "b.bpm", "b.key"))} AS mix, {relation("a.key", "b.key")} AS relation
     FROM near JOIN library a ON a.path = seed JOIN library b ON b.path = near.path JOIN e ON e.path = near.path WHERE rank <= 10""",
@@ -167,15 +167,15 @@ SQL: dict[str, str] = {
     "threshold_verdicts": f"""WITH {BIG}, {COMPARED}, limits(metric, op, bound) AS (VALUES {_LIMITS}),
     found AS (SELECT 'bpm_error_p95' AS metric, bpm_error_p95::DOUBLE AS value FROM metrics UNION ALL SELECT 'key_exact', key_exact FROM metrics UNION ALL SELECT 'key_compatible', key_compatible FROM metrics)
     SELECT metric, op, bound, {six("value")} AS value, CASE op WHEN '<=' THEN value <= bound WHEN '>=' THEN value >= bound ELSE value < bound END AS ok FROM limits LEFT JOIN found USING (metric)""",
-    "overall_verdict": f"WITH {BIG}, {COMPARED} SELECT CASE WHEN bpm_error_p95 > 1 THEN 1 ELSE 2 END AS verdict FROM metrics",
+    "overall_verdict": f"WITH {BIG}, {COMPARED} SELECT CASE WHEN bpm_error_p95 > 1 OR coalesce(key_exact < 85, false) OR coalesce(key_compatible < 95, false) THEN 1 ELSE 2 END AS verdict FROM metrics",
     "quality_confusion": """WITH r AS (SELECT n_chars < 600 AS f, quality = 0 AS t FROM documents LEFT JOIN labels USING (doc_id)),
     c AS (SELECT count(*) FILTER (f AND t) AS tp, count(*) FILTER (f AND NOT t) AS fp, count(*) FILTER (NOT f AND NOT t) AS tn, count(*) FILTER (NOT f AND t) AS fn, count(*) FILTER (t IS NULL) AS unlabelled FROM r)
     SELECT *, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall, round((tp + tn)::DOUBLE / nullif(tp + fp + tn + fn, 0), 6) AS accuracy FROM c""",
     "quality_grades": """WITH r AS (SELECT *, floor(l_quantity * 8)::INT AS rate, l_extendedprice % 12000::DOUBLE / 1000::DOUBLE + 10 AS khz, l_discount * 400::DOUBLE AS wall, l_returnflag = 'A' AS lossless FROM lineitem),
     e AS (SELECT *, (CASE WHEN rate >= 320 THEN 20 WHEN rate >= 256 THEN 19.5 WHEN rate >= 192 THEN 18.5 WHEN rate >= 160 THEN 16.5 WHEN rate >= 128 THEN 16 WHEN rate >= 96 THEN 15 ELSE 13 END)::DOUBLE AS expected FROM r)
-    SELECT l_orderkey, l_linenumber, l_partkey, expected, CASE WHEN khz >= 20 THEN 320 WHEN khz >= 19.5 THEN 256 WHEN khz >= 18.5 THEN 192 WHEN khz >= 16.5 THEN 160 WHEN khz >= 16 THEN 128 WHEN khz >= 15 THEN 96 ELSE 0 END AS supported,
+    SELECT l_orderkey, l_linenumber, l_partkey, expected, CASE WHEN khz >= 19.75::DOUBLE THEN 320 WHEN khz >= 19.25::DOUBLE THEN 256 WHEN khz >= 18.25::DOUBLE THEN 192 WHEN khz >= 16.25::DOUBLE THEN 160 WHEN khz >= 15.75::DOUBLE THEN 128 WHEN khz >= 14.75::DOUBLE THEN 96 ELSE 0 END AS supported,
     CASE WHEN lossless THEN CASE WHEN wall >= 25 AND khz < 19 THEN 'suspicious' ELSE 'ok' END WHEN khz - expected >= -1 THEN 'ok' WHEN wall >= 25 THEN 'suspicious' ELSE 'low' END AS flag,
-    CASE WHEN NOT lossless THEN CASE WHEN rate >= 300 THEN 'A' WHEN rate >= 256 THEN 'A-' WHEN rate >= 200 THEN 'B' WHEN rate >= 150 THEN 'C' WHEN rate >= 96 THEN 'D' ELSE 'F' END
+    CASE WHEN lossless AND l_linenumber = 1 THEN 'A' WHEN NOT lossless THEN CASE WHEN rate >= 300 THEN 'A' WHEN rate >= 256 THEN 'A-' WHEN rate >= 200 THEN 'B' WHEN rate >= 150 THEN 'C' WHEN rate >= 96 THEN 'D' ELSE 'F' END
     WHEN khz * 1000 >= 20000 THEN CASE WHEN wall >= 25 THEN 'A-' ELSE 'A' END WHEN khz * 1000 >= 19500 THEN 'B' WHEN khz * 1000 >= 18000 THEN 'C' WHEN khz * 1000 >= 15500 THEN 'D' ELSE 'F' END AS grade FROM e""",
     "crate_metrics": f"""WITH {BIG}, {CRATES}, i AS (SELECT *, {number("key")} AS number FROM crates), g AS (SELECT crate_id, number, count(*) AS n FROM i WHERE number IS NOT NULL GROUP BY ALL),
     p AS (SELECT crate_id, arg_max(number, n * 100 - number) AS peak_key FROM g GROUP BY crate_id), s AS (SELECT crate_id, count(*) AS items, count(*) FILTER (file_ok) AS with_file, sum(duration) AS seconds FROM i GROUP BY crate_id),
@@ -184,7 +184,7 @@ SQL: dict[str, str] = {
     "crate_tempo": f"""WITH {BIG}, {CRATES}, k AS (SELECT *, min(bpm_rank) OVER (PARTITION BY crate_id) AS best FROM crates WHERE bpm > 0)
     SELECT crate_id, (['engine', 'collection', 'other'])[best + 1] AS source, ((2 * sum(round(bpm * 10)::BIGINT) FILTER (bpm_rank = best) + count(*) FILTER (bpm_rank = best)) // (2 * count(*) FILTER (bpm_rank = best)))::DOUBLE / 10 AS mean, round(min(bpm) FILTER (bpm_rank = best), 1) AS low,
     round(max(bpm) FILTER (bpm_rank = best), 1) AS high, count(*) FILTER (bpm_rank = best) AS n, count(*) FILTER (bpm_rank <> best) AS left_out FROM k GROUP BY crate_id, best""",
-    "crate_shelves": f"""WITH {BIG}, {CRATES} SELECT lower(genre) AS genre, count(*) AS items, 'other' AS family FROM crates GROUP BY ALL""",
+    "crate_shelves": f"""WITH {BIG}, {CRATES} SELECT lower(genre) AS genre, count(*) AS items, CASE WHEN genre IS NOT NULL THEN 'other' END AS family FROM crates GROUP BY ALL""",
     "genre_spearman": f"""WITH {LIBRARY}, t AS (SELECT * FROM library WHERE bpm > 0), r AS (SELECT genre,
     rank() OVER (PARTITION BY genre ORDER BY bpm) + (count(*) OVER (PARTITION BY genre, bpm) - 1) / 2::DOUBLE AS a, rank() OVER (PARTITION BY genre ORDER BY energy_raw) + (count(*) OVER (PARTITION BY genre, energy_raw) - 1) / 2::DOUBLE AS b FROM t)
     SELECT genre, CASE WHEN count(*) >= 2 AND min(a) < max(a) AND min(b) < max(b) THEN {six("corr(a, b)")} END AS spearman FROM r GROUP BY genre""",

@@ -13,6 +13,7 @@ from cadenza.functions.scoring import SetConfig, energy_target, mixability, reas
 from cadenza.operators import bridge, crates, cues, duplicates, evaluation, export, identity, library, names, neighbours, resolve, saved, search, setbuilder, stats
 from cadenza.plans import measures, surrogate, upkeep
 from cadenza.sources import readers
+from cadenza.sources.staging import staged
 from cadenza.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = upkeep.QUERIES | measures.QUERIES
@@ -38,9 +39,9 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def nearest_with_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each item's ten nearest by timbre, and how they would mix."""
-    lib = context(spark, sf_dir)
-    near = neighbours.nearest(lib, lib, 10)
+    """Each item's ten nearest tracks by timbre (fragments can't be answers), and how they would mix."""
+    lib = staged(context(spark, sf_dir), "library-context")
+    near = neighbours.nearest(lib, lib.where(library.is_track(F.col("duration"))), 10)
     a = lib.select(F.col("path").alias("seed"), F.col("bpm").alias("from_bpm"), F.col("key").alias("from_key"))
     b = lib.select("path", F.col("bpm").alias("to_bpm"), F.col("key").alias("to_key"), F.col("energy"))
     met = near.join(a, "seed").join(b, "path")
@@ -141,9 +142,8 @@ def threshold_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def overall_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A36."""
-    m = evaluation.contract_metrics(_compared(spark, sf_dir))
-    return evaluation.overall(evaluation.verdicts(m.select(F.lit("bpm_error_p95").alias("metric"), F.col("bpm_error_p95").alias("value"))))
+    """Over all thresholds that ``threshold_verdicts`` judges."""
+    return evaluation.overall(threshold_verdicts(spark, sf_dir))
 
 
 @query
@@ -163,7 +163,7 @@ def quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     khz, wall = F.col("l_extendedprice") % 12000 / 1000 + 10, F.col("l_discount") * 400
     rows = l.select("l_orderkey", "l_linenumber", "l_partkey", rate.alias("rate"), khz.alias("khz"), wall.alias("wall"), (F.col("l_returnflag") == "A").alias("lossless"))
     c = F.col
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", quality.expected_cutoff(c("rate")).alias("expected"), quality.supported_rate(c("khz")).alias("supported"), quality.flag(c("khz"), c("wall"), c("rate"), c("lossless")).alias("flag"), quality.grade(F.when(c("lossless"), None).otherwise(c("rate")), c("khz") * 1000, c("wall") >= 25).alias("grade"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", quality.expected_cutoff(c("rate")).alias("expected"), quality.supported_rate(c("khz")).alias("supported"), quality.flag(c("khz"), c("wall"), c("rate"), c("lossless")).alias("flag"), quality.grade(F.when(c("lossless"), None).otherwise(c("rate")), c("khz") * 1000, c("wall") >= 25, F.when(c("lossless") & (c("l_linenumber") == 1), "FLAC")).alias("grade"))
 
 
 @query

@@ -132,7 +132,7 @@ def similar_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ordered_items(spark, sf_dir)
     i = F.col("part")
     tracks = rows.select(F.col("crate_id").alias("album_id"), F.col("item_id").alias("track_id"), F.col("position").alias("track_place"), F.concat(F.lit("artist "), (i % 40).cast("string")).alias("artist"), F.concat(F.lit("Title  "), (i % 300).cast("string")).alias("title"), F.when(i % 9 != 0, "x").alias("preview"), F.when(i % 4 == 0, "House").when(i % 4 == 1, "Rock").when(i % 4 == 2, "Deep House").alias("genre"), "bpm", "key")
-    found = similar.candidates(artists, similar.recent_albums(albums, "1996-06-01"), tracks).withColumn("family", F.lit("house"))
+    found = similar.candidates(artists, similar.recent_albums(albums, "1996-06-01"), tracks).withColumn("family", F.lit("electronic"))
     seeds = {"seed_bpm": 100.0 + F.col("seed_id"), "seed_key": F.lit("8A"), "recent": F.col("album_place") == 1}
     out = similar.similar_lists(similar.of_family(found).withColumns(seeds), 25)
     return out.select("seed_id", F.col("place").cast("long").alias("place"), "track_id", F.round("score", 6).alias("score"))

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import keys, quality, signal, tempo, text
 from cadenza.functions.scoring import energy_target
+from cadenza.operators import names
 from cadenza.operators.setbuilder import goal, key_compat, tempo_scores
 
 
+c = F.col
+
+
 def values(spark, expression, rows, schema):
     return [r.x for r in spark.createDataFrame(rows, schema).select(expression.alias("x")).collect()]
 
@@ -120,3 +124,31 @@ def test_kernels():
     offset, clear = signal.beat_phase(beats, np.ones(50), 120.0)
     assert abs(offset - 0.2) < 0.01 and clear > 0.99
     assert signal.downbeat(np.tile([1.0, 0, 0, 0], 8) * np.arange(32))[0] == 0
+
+
+def test_search_tokens_tell_versions_apart(spark):
+    texts = ["Strobe (Official Video) Original Mix", "Strobe Remix [HD]", "El Tema del Verano - Remastered 4K", "x Luna y Sol"]
+    assert values(spark, text.tokens(c("t")), [(t,) for t in texts], "t string") == [["mix", "original", "strobe"], ["remix", "strobe"], ["tema", "verano"], ["luna", "sol"]]
+
+
+def test_genre_families(spark):
+    rows = [("Melodic Techno",), ("Hip-Hop",), ("Dance Pop",), ("K-Pop",), ("Dancehall",), ("Ska",), ("R&B",), ("Zouk",), ("",), (None,)]
+    assert values(spark, text.genre_family(c("g")), rows, "g string") == ["electronic", "rap", "electronic", "pop", "electronic", "reggae", "rnb", "other", None, None]
+
+
+def test_codecs_and_slack(spark):
+    assert values(spark, quality.supported_rate(c("k")), [(19.75,), (19.7,), (15.8,), (12.0,)], "k double") == [320, 256, 128, 0]
+    assert values(spark, quality.effective_rate(c("r"), c("n")), [(100, "mp4a.40.2"), (100, "Opus"), (100, "mp3"), (100, None)], "r int, n string") == [150.0, 150.0, 100.0, 100.0]
+    assert values(spark, quality.grade(c("r"), c("k"), c("w"), c("n")), [(96, 9.0, True, "FLAC"), (96, 9.0, True, "mp3"), (None, None, None, "wav")], "r int, k double, w boolean, n string") == ["A", "D", "A"]
+
+
+def test_names_without_leftovers(spark):
+    rows = [("myfreemp3.vip Band - Song",), ("Song (cut) end",), ("Song (2)",), ("Song Official Music Video",), ("Song_v2 copy",), ("Song Free Download (1)",)]
+    got = spark.createDataFrame(rows, "t string").select(*(x.alias(n) for x, n in zip(names.tidy(c("t")), ("out", "why"), strict=True))).collect()
+    assert [(r.out, r.why) for r in got] == [("Band - Song", ["download site"]), ("Song end", ["cut"]), ("Song", ["copy number"]), ("Song", ["official video"]), ("Song_v2 copy", []), ("Song", ["copy number", "free download"])]
+
+
+def test_catalogue_numbers_go(spark):
+    rows = [(f"/in/{n}.mp3",) for n in ("001 - Ann - Tune", "[ONYX002] - Ann - Tune", "ABC123 - Ann - Tune", "Ann - Tune", "Ann 12 - Tune")]
+    got = names.sides(spark.createDataFrame(rows, "path string")).collect()
+    assert [(r.left, r.right) for r in got] == [("Ann", "Tune")] * 4 + [("Ann 12", "Tune")]

@@ -64,7 +64,7 @@ def test_reviews(spark):
 
 
 def test_similar(spark):
-    rows = spark.createDataFrame([(1, i, "house", "House" if i < 5 else "Rock") for i in range(8)], "seed_id int, rank int, family string, genre string")
+    rows = spark.createDataFrame([(1, i, "electronic", "House" if i < 5 else "Rock") for i in range(8)], "seed_id int, rank int, family string, genre string")
     assert similar.of_family(rows).count() == 8 and similar.of_family(rows, floor=5).count() == 5
     order = spark.createDataFrame([(1, 6, 0), (1, 2, 1), (1, 99, 2)], "seed_id int, rank_id int, wanted int")
     placed = similar.in_given_order(rows.withColumn("rank_id", F.col("rank")), order, "rank_id", "seed_id")
