@@ -6,7 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from cadenza.plans import oracle, queries
+from cadenza.plans import oracle, queries, session_sql
+
+SQL = oracle.SQL | session_sql.SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
@@ -23,12 +25,12 @@ def test_query(spark, sf, name):
     columns = sorted(got.columns)
     rows = sorted(tuple(plain(r[c]) for c in columns) for r in got.collect())
     assert rows or name == "mark_orphans"  # all parts are in the smallest library
-    if name not in oracle.SQL:
+    if name not in SQL:
         return
     con = duckdb.connect()
     for t in TABLES.split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    found = con.execute(oracle.SQL[name])
+    found = con.execute(SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
