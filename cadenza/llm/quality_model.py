@@ -4,11 +4,14 @@ A text's UTF-8 is cut into chunks that overlap by a filter's width less one, so
 bytes is in one chunk. A filter is a table of weights for each byte at each of its places, so a
 convolution is a sum of table rows. Each chunk keeps the largest response of each filter; a
 document's pooled responses (their mean, least and largest over its chunks) give one probability.
-Filters are learned on chunks by Adam, the last layer on whole documents by Newton's method.
+Filters are learned on chunks by Adam, the last layer on whole documents by Newton's method. Tasks cut
+the chunks and pool the responses, so no text reaches the driver: it gets ``DRAWN`` chunks at most of
+each labelled document to learn filters from, and each one's pooled responses for the last layer.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import staged
 from cadenza.llm.toxicity import labelled
 
-#: At most so many labelled rows are learned from.
-SAMPLE = 3_000
+#: At most so many labelled rows are learned from, and so many chunks of each by filters (12 MB in all).
+SAMPLE, DRAWN = 3_000, 8
 FILTERS, WIDTH, CHUNK = 16, 5, 512
 STEPS, BATCH = 600, 64
 
@@ -66,7 +70,7 @@ def document(tables: np.ndarray, text: str | None) -> np.ndarray:
 
 
 def learn_filters(texts: list[np.ndarray], label: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Filters from chunks drawn at random, as many of either label, each with its document's label."""
+    """Filters from chunks (a matrix for each document) drawn at random, as many of either label, each with its document's label."""
     draw = np.random.default_rng(seed)
     tables = draw.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32)
     out = draw.normal(0, 0.3, FILTERS).astype(np.float32)
@@ -94,13 +98,8 @@ def learn_filters(texts: list[np.ndarray], label: np.ndarray, seed: int = 5) ->
     return tables
 
 
-def learn(texts: list[str | None], label: np.ndarray) -> Network | float:
-    """A network, or the rate of label 1 if only one label is there."""
-    if not len(label) or label.min() == label.max():
-        return float(label.mean()) if len(label) else 0.5
-    cut = [chunks(t) for t in texts]
-    tables = learn_filters(cut, label)
-    x = np.stack([np.concatenate([p.mean(0), p.min(0), p.max(0)]) for p in (pooled(tables, c) for c in cut)]).astype(np.float64)
+def last_layer(tables: np.ndarray, x: np.ndarray, label: np.ndarray) -> Network:
+    """The network of these filters with a logistic layer over documents' pooled responses."""
     mean, spread = x.mean(0), x.std(0) + 1e-6
     z = np.hstack([(x - mean) / spread, np.ones((len(x), 1))])
     w, ridge = np.zeros(z.shape[1]), np.append(np.full(z.shape[1] - 1, 2.0), 1e-6)
@@ -113,6 +112,37 @@ def learn(texts: list[str | None], label: np.ndarray) -> Network | float:
     return Network(tables, mean, spread, w[:-1], float(w[-1]))
 
 
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces a text by DRAWN of its chunks at most, drawn by a seed from the text."""
+    for b in batches:
+        out = []
+        for text in b.column("text").to_pylist():
+            rows = chunks(text)
+            if len(rows) > DRAWN:
+                rows = rows[np.sort(np.random.default_rng(zlib.crc32(rows.tobytes())).choice(len(rows), DRAWN, replace=False))]
+            out.append(rows.tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "chunks"])
+
+
+def learn(rows: DataFrame) -> Network | float:
+    """A network from rows (doc_id, label, text), or the rate of label 1 if only one label is there."""
+    rows = staged(rows.select("doc_id", F.col("label").cast("int").alias("label"), "text"), "quality-sample")
+    drawn = rows.mapInArrow(_drawn, "doc_id bigint, label int, chunks binary").toPandas().sort_values(["doc_id", "chunks"])
+    label = drawn["label"].to_numpy(np.int64)
+    if not len(label) or label.min() == label.max():
+        return float(label.mean()) if len(label) else 0.5
+    tables = learn_filters([np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for x in drawn["chunks"]], label)
+
+    def respond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [document(tables, t).tolist() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+
+    pooled_ = rows.mapInArrow(respond, "doc_id bigint, label int, x array<double>").toPandas()
+    order = sorted(range(len(pooled_)), key=lambda i: (pooled_["doc_id"][i], list(pooled_["x"][i])))
+    return last_layer(tables, np.stack(pooled_["x"].to_numpy())[order], pooled_["label"].to_numpy(np.int64)[order])
+
+
 def probability(net: Network | float, text: str | None) -> float:
     if isinstance(net, float):
         return net
@@ -127,8 +157,7 @@ def classify(docs: DataFrame, labels: DataFrame, learning, sample: int = SAMPLE)
     texts are one chunk of zero bytes. Rows with equal texts score alike, whatever their other
     columns, which are ignored. An empty table gives an empty result.
     """
-    rows = labelled(docs, labels, "quality", learning, sample).toPandas().sort_values(["doc_id", "text"])
-    net = learn(list(rows["text"]), rows["label"].to_numpy(np.int64))
+    net = learn(labelled(docs, labels, "quality", learning, sample))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # its size is fixed by FILTERS and WIDTH
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

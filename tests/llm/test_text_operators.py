@@ -279,3 +279,26 @@ def test_chunks_cover_whole_texts():
     seen = {bytes(r[i : i + quality_model.WIDTH]) for r in rows for i in range(quality_model.CHUNK - quality_model.WIDTH + 1)}
     raw = text.encode()
     assert {raw[i : i + quality_model.WIDTH] for i in range(len(raw) - quality_model.WIDTH + 1)} <= seen
+
+
+def test_convolution_by_plain_loops():
+    """The pooled responses of a network of random filters against sums over every place of every chunk."""
+    draw = np.random.default_rng(3)
+    tables = draw.normal(size=(quality_model.WIDTH, 256, quality_model.FILTERS)).astype(np.float32)
+    text = "".join(draw.choice(list("abc é\n"), 1300))
+    raw = text.encode()
+    step = quality_model.CHUNK - quality_model.WIDTH + 1
+    starts = [*range(0, len(raw) - quality_model.CHUNK, step), len(raw) - quality_model.CHUNK]
+    per_chunk = []
+    for s in starts:
+        chunk = raw[s : s + quality_model.CHUNK]
+        best = [-math.inf] * quality_model.FILTERS
+        for at in range(len(chunk) - quality_model.WIDTH + 1):
+            for f in range(quality_model.FILTERS):
+                best[f] = max(best[f], sum(float(tables[k, chunk[at + k], f]) for k in range(quality_model.WIDTH)))
+        per_chunk.append(best)
+    p = np.array(per_chunk)
+    assert np.allclose(quality_model.document(tables, text), np.concatenate([p.mean(0), p.min(0), p.max(0)]), atol=1e-4)
+    net = quality_model.Network(tables, np.zeros(48), np.ones(48), draw.normal(size=48) / 50, 0.1)
+    z = sum(a * b for a, b in zip(np.concatenate([p.mean(0), p.min(0), p.max(0)]), net.weights, strict=True)) + 0.1
+    assert math.isclose(quality_model.probability(net, text), 1 / (1 + math.exp(-z)), rel_tol=1e-3)
