@@ -46,17 +46,24 @@ def cleaned(text: Column) -> Column:
     return squeezed(F.regexp_replace(F.coalesce(text, F.lit("")), CONTROLS, " "))
 
 
+def fold(x: str | None) -> str:
+    plain = "".join(c for c in unicodedata.normalize("NFKD", x or "") if not unicodedata.combining(c)).casefold()
+    kept = "".join(c if c.isalnum() else "" if c in "'’`" else "s" if c == "$" else " " for c in plain)
+    return " ".join(kept.split())
+
+
 @F.pandas_udf(T.StringType())
 def folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKD without marks, case folded, apostrophes dropped, other signs as spaces. Spark has no such form."""
+    for s in batches:
+        yield s.map(fold, na_action=None)
 
-    def fold(x: str | None) -> str:
-        plain = "".join(c for c in unicodedata.normalize("NFKD", x or "") if not unicodedata.combining(c)).casefold()
-        kept = "".join(c if c.isalnum() else "" if c in "'’`" else "s" if c == "$" else " " for c in plain)
-        return " ".join(kept.split())
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def folded_names(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The distinct folded names of an array, ascending, without empty ones."""
     for s in batches:
-        yield s.map(fold, na_action=None)
+        yield s.map(lambda names: sorted({fold(n) for n in (names if names is not None else ())} - {""}))
 
 
 def artist_identity(artist: Column) -> Column:
