@@ -452,7 +452,7 @@ def set_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identity_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which other part could be the same recording as each part, by name, version, guests and length."""
     p, i = surrogate.table(spark, sf_dir, "part"), F.col("p_partkey")
-    title = F.concat("p_name", F.when(i % 4 == 0, " (Extended Mix)").when(i % 4 == 1, " (Radio Edit)").otherwise(""), F.when(i % 7 == 0, F.concat(F.lit(" (feat. "), "p_mfgr", F.lit(")"))).otherwise(""))
+    title = F.concat("p_name", F.when(i % 4 == 0, " (Extended Mix)").when(i % 4 == 1, " (Radio Edit)").otherwise(""), F.when(i % 7 == 0, F.concat(F.lit(" (feat. "), "p_type", F.lit(")"))).otherwise(""))
     rows = identity.identified(p.select(i.alias("id"), F.col("p_brand").alias("artist"), title.alias("title"), (F.lit(200.0) + i % 50).alias("seconds")))
     w, c = (rows.select(*(F.col(x).alias(f"{n}_{x}") for x in rows.columns)) for n in ("w", "c"))
     # Evidence by text needs one title, so candidates meet by it.
