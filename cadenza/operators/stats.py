@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.sources.staging import staged
+
 
 def below_share(df: DataFrame, value: str, name: str = "percentile") -> DataFrame:
     """The share of all rows with a strictly smaller value: the least gets 0, none gets 1.
@@ -14,7 +16,8 @@ def below_share(df: DataFrame, value: str, name: str = "percentile") -> DataFram
     in ranges first, and only the ranges' totals, one row each, are accumulated together.
     """
     counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = counts.repartitionByRange(F.col("_v")).withColumn("_range", F.spark_partition_id())
+    # Written once: the ranges are sampled, so a second run of this shuffle could number values otherwise.
+    ranged = staged(counts.repartitionByRange(F.col("_v")).withColumn("_range", F.spark_partition_id()), "value-ranges")
     totals = ranged.groupBy("_range").agg(F.sum("_n").alias("_t"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_t").over(W.partitionBy()))
     inside = F.coalesce(F.sum("_n").over(W.partitionBy("_range").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
