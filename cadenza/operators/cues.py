@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.operators.stats import before
+
 PADS, MEMORY_LIMIT, LOOP_LIMIT = 8, 32, 32
 IDENTITY = ("path", "kind", "num", "start_ms", "end_ms")
 
@@ -49,16 +51,17 @@ def orphans(marks: DataFrame, library: DataFrame) -> DataFrame:
 def statistics(marks: DataFrame, durations: DataFrame) -> DataFrame:
     """num, n, low, middle (the upper median), high of relative positions, and how many are in the opening and the closing part."""
     met = marks.join(durations.where("duration > 0").select("path", "duration"), "path").withColumn("at", F.col("start_ms") / 1000 / F.col("duration"))
-    # The upper median is the value at row n // 2, found by rank: no list of a pad's marks is gathered.
-    by = W.partitionBy("num").orderBy("at", "mark_id")
-    ranked = met.withColumns({"_i": F.row_number().over(by) - 1, "_n": F.count(F.lit(1)).over(W.partitionBy("num"))})
-    return ranked.groupBy("num").agg(
-        F.count(F.lit(1)).alias("n"),
+    # The upper median is the value at row n // 2, found from the counts of values: no task gets all marks of a pad.
+    counts = met.groupBy("num", "at").agg(F.count(F.lit(1)).alias("_c"))
+    half = F.floor(F.col("n") / 2)
+    is_middle = (F.col("_below") <= half) & (half < F.col("_below") + F.col("_c"))
+    return before(counts, ["num"], ["at"], F.col("_c"), "_below", "n").groupBy("num").agg(
+        F.max("n").alias("n"),
         F.min("at").alias("low"),
-        F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2), F.col("at"))).alias("middle"),
+        F.max(F.when(is_middle, F.col("at"))).alias("middle"),
         F.max("at").alias("high"),
-        F.count_if(F.col("at") < 0.15).alias("opening"),
-        F.count_if(F.col("at") > 0.85).alias("closing"),
+        F.coalesce(F.sum(F.when(F.col("at") < 0.15, F.col("_c"))), F.lit(0)).alias("opening"),
+        F.coalesce(F.sum(F.when(F.col("at") > 0.85, F.col("_c"))), F.lit(0)).alias("closing"),
     )
 
 

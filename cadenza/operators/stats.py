@@ -9,26 +9,39 @@ from pyspark.sql import functions as F
 from cadenza.sources.staging import staged
 
 
-def below_share(df: DataFrame, value: str, name: str = "percentile") -> DataFrame:
-    """The share of all rows with a strictly smaller value: the least gets 0, none gets 1.
+def before(rows: DataFrame, group: list[str], order: list[str], n: Column, name: str, total: str = "_total") -> DataFrame:
+    """Adds ``name``: the sum of ``n`` over the rows that come before in ``order`` within ``group`` (0 for the first); and ``total``, the group's.
 
-    Counted from the distinct values, so no window runs over all rows in one task: values are summed
-    in ranges first, and only the ranges' totals, one row each, are accumulated together.
+    No window runs over a whole group: rows are dealt into ranges of group and order, summed within
+    these, and only the ranges' totals, one row for each group in a range, are accumulated. Rows that
+    agree in ``group`` and ``order`` are told apart by chance. Nulls are a group, and come first.
     """
-    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     # Written once: the ranges are sampled, so a second run of this shuffle could number values otherwise.
-    ranged = staged(counts.repartitionByRange(F.col("_v")).withColumn("_range", F.spark_partition_id()), "value-ranges")
-    totals = ranged.groupBy("_range").agg(F.sum("_n").alias("_t"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_t").over(W.partitionBy()))
-    inside = F.coalesce(F.sum("_n").over(W.partitionBy("_range").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    share = ranged.withColumn("_in", inside).join(before, "_range").select("_v", ((F.col("_before") + F.col("_in")) / F.col("_all")).alias(name))
+    dealt = rows.withColumn("_n", n.cast("long")).repartitionByRange(*group, *order)
+    ranged = staged(dealt.withColumn("_range", F.spark_partition_id()), "value-ranges")
+    earlier = (W.unboundedPreceding, -1)
+    totals = ranged.groupBy(*group, "_range").agg(F.sum("_n").alias("_t"))
+    totals = totals.withColumn("_shift", F.coalesce(F.sum("_t").over(W.partitionBy(*group).orderBy("_range").rowsBetween(*earlier)), F.lit(0))).withColumn(total, F.sum("_t").over(W.partitionBy(*group)))
+    shift = totals.select(F.col("_range").alias("_of"), "_shift", total, *(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)))
+    inside = F.coalesce(F.sum("_n").over(W.partitionBy("_range", *group).orderBy(*order).rowsBetween(*earlier)), F.lit(0))
+    same = F.col("_range") == F.col("_of")
+    for i, c in enumerate(group):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return ranged.withColumn("_in", inside).join(shift, same).select(*rows.columns, (F.col("_shift") + F.col("_in")).alias(name), total)
+
+
+def below_share(df: DataFrame, value: str, name: str = "percentile") -> DataFrame:
+    """The share of all rows with a strictly smaller value: the least gets 0, none gets 1. Counted from the distinct values."""
+    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    share = before(counts, [], ["_v"], F.col("_c"), "_below").select("_v", (F.col("_below") / F.col("_total")).alias(name))
     return df.join(share, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
 
 
-def mean_rank(value: Column | str, group: list[str]) -> Column:
-    """Ranks within a group from 1, ties at their mean."""
-    tied = W.partitionBy(*group, value)
-    return F.rank().over(W.partitionBy(*group).orderBy(value)) + (F.count(F.lit(1)).over(tied) - 1) / 2
+def mean_rank(df: DataFrame, value: str, group: list[str], name: str) -> DataFrame:
+    """Adds ranks within a group from 1, ties at their mean; counted from the distinct values. Groups may not be null."""
+    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranks = before(counts, group, [value], F.col("_c"), "_below").select(*group, value, (F.col("_below") + (F.col("_c") + 1) / 2).alias(name))
+    return df.join(ranks, [*group, value])
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -41,7 +54,8 @@ def pearson(a: Column, b: Column) -> Column:
 
 
 def spearman(df: DataFrame, group: list[str], a: str, b: str, name: str = "spearman") -> DataFrame:
-    ranked = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*group, mean_rank(F.col(a), group).alias("_a"), mean_rank(F.col(b), group).alias("_b"))
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*group, F.col(a).alias("_x"), F.col(b).alias("_y"))
+    ranked = mean_rank(mean_rank(known, "_x", group, "_a"), "_y", group, "_b")
     return ranked.groupBy(*group).agg(pearson(F.col("_a"), F.col("_b")).alias(name))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cadenza.operators.stats import before
+
 TRANSIENT = ("timeout", "io", "system")
 BASE_SECONDS, ATTEMPTS = 120, 3
 BATCH = 8
@@ -45,8 +47,8 @@ def batched(files: DataFrame, limit: int = BATCH) -> DataFrame:
     """Adds batch: files of one name never share one; within these rounds, ``limit`` in order of path."""
     name = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
     round_ = F.row_number().over(W.partitionBy(name).orderBy("path")) - 1
-    place = F.floor((F.row_number().over(W.partitionBy("_round").orderBy("path")) - 1) / limit)
-    return files.withColumn("_round", round_).withColumn("batch", F.concat_ws("-", "_round", place)).drop("_round")
+    placed = before(files.withColumn("_round", round_), ["_round"], ["path"], F.lit(1), "_before")
+    return placed.select(*files.columns, F.concat_ws("-", "_round", F.floor(F.col("_before") / limit)).alias("batch"))
 
 
 def recorded(registry: DataFrame, results: DataFrame, now: Column) -> DataFrame:

@@ -279,3 +279,22 @@ def test_statistics(spark):
 
 def test_gate_constant():
     assert tempo.GATE == 0.08
+
+
+def test_sums_before_a_row_match_a_plain_version(spark):
+    rows = [(None if i % 5 == 0 else i % 3, (i * 37) % 50 if i % 11 else None, i, i % 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, v int, i int, n int").repartition(6)
+    got = {r.i: r.b for r in stats.before(df, ["g"], ["v", "i"], F.col("n"), "b").collect()}
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    assert got == {r[2]: sum(x[3] for x in rows if x[0] == r[0] and key(x) < key(r)) for r in rows}
+    assert stats.before(df.limit(0), ["g"], ["v", "i"], F.col("n"), "b").count() == 0
+
+
+def test_the_middle_mark_of_each_pad_is_the_upper_median(spark):
+    rows = [(m, f"p{m % 7}", None if m % 4 == 3 else m % 4, (m * 13) % 9 * 1000) for m in range(90)]
+    marks = spark.createDataFrame(rows, "mark_id int, path string, num int, start_ms int")
+    lengths = spark.createDataFrame([(f"p{i}", 10.0) for i in range(7)], "path string, duration double")
+    got = {r.num: (r.n, r.low, r.middle, r.high, r.opening, r.closing) for r in cues.statistics(marks, lengths).collect()}
+    for pad in (0, 1, 2, None):
+        at = sorted(r[3] / 1000 / 10.0 for r in rows if r[2] == pad)
+        assert got[pad] == (len(at), at[0], at[len(at) // 2], at[-1], sum(x < 0.15 for x in at), sum(x > 0.85 for x in at))
