@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, chat, line_dedup, mixing, ngram_join, quality_model, quality_rules, substring_dedup, topk, toxicity
+from cadenza.llm import alignment, bpe, chat, line_dedup, merkle, mixing, ngram_join, page_text, quality_model, quality_rules, substring_dedup, topk, toxicity
 from cadenza.llm.common import WORD, crc_mod, table
 
 #: Words of a text column in DuckDB.
@@ -229,6 +229,86 @@ WITH good AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and roots, and the root that its proof gives after tampering with half of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows, n_trees = merkle.manifest(
+        docs, "source", "doc_id", merkle.leaf_of([*map(F.col, fields), F.col("text")]), tampered=merkle.leaf_of([*map(F.col, fields), tampered])
+    )
+    rows = rows.withColumn("again", merkle.hexed(F.col("tampered"))).withColumn("folded_root", merkle.folded("again", n_trees))
+    return rows.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+def _sql_field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _sql_leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_sql_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+#: One row a tree and level: its nodes as a list, folded up three at a time until one is left.
+_SQL_UP = "list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], '')))"
+#: The siblings of node ``spot`` (from 0) in a list of nodes, before and after it.
+_SQL_BEFORE = "array_to_string(nodes[spot // 3 * 3 + 1:spot], '')"
+_SQL_AFTER = "array_to_string(nodes[spot + 2:spot // 3 * 3 + 3], '')"
+OP11_SQL = rf"""
+WITH RECURSIVE crcs AS (
+    SELECT list(c ORDER BY b) AS crc FROM (
+        SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM (SELECT unnest(range(256)) AS b)
+    )
+), docs AS (
+    SELECT *, xor(4294967295, list_reduce([ord(x) FOR x IN string_split(doc_id::VARCHAR, '')],
+                  lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295::BIGINT)) % 2 = 0 AS tamper FROM documents, crcs
+), hashed AS (
+    SELECT doc_id, source, {_sql_leaf('text')} AS leaf, {_sql_leaf("CASE WHEN tamper THEN replace(text, chr(10), '') ELSE text END")} AS tampered FROM docs
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, tampered) - 1 AS idx, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM hashed
+), low AS (
+    SELECT tree, 0 AS level, list(leaf ORDER BY idx) AS nodes FROM placed GROUP BY tree
+    UNION ALL SELECT tree, level + 1, {_SQL_UP} FROM low WHERE len(nodes) > 1
+), subroots AS (
+    SELECT tree, nodes[1] AS subroot FROM low WHERE len(nodes) = 1
+), high AS (
+    SELECT -1 AS tree, 0 AS level, list(subroot ORDER BY tree) AS nodes FROM subroots
+    UNION ALL SELECT tree, level + 1, {_SQL_UP} FROM high WHERE len(nodes) > 1
+), roots AS (
+    SELECT nodes[1] AS root FROM high WHERE len(nodes) = 1
+), climb AS (
+    SELECT tree, idx, 0 AS level, idx AS spot, tampered AS acc, '' AS proof FROM placed
+    UNION ALL
+    SELECT tree, idx, level + 1, spot // 3, sha256({_SQL_BEFORE} || acc || {_SQL_AFTER}), proof || {_SQL_BEFORE} || {_SQL_AFTER}
+    FROM climb JOIN low USING (tree, level) WHERE len(nodes) > 1
+), reached AS (
+    SELECT tree, idx, arg_max(acc, level) AS acc, arg_max(proof, level) AS proof FROM climb GROUP BY ALL
+), on_top AS (
+    SELECT tree AS owner, idx, 0 AS level, tree AS spot, acc, proof FROM reached
+    UNION ALL
+    SELECT owner, idx, level + 1, spot // 3, sha256({_SQL_BEFORE} || acc || {_SQL_AFTER}), proof || {_SQL_BEFORE} || {_SQL_AFTER}
+    FROM on_top JOIN high USING (level) WHERE len(nodes) > 1
+), ends AS (
+    SELECT owner AS tree, idx, arg_max(acc, level) AS folded_root, arg_max(proof, level) AS proof FROM on_top GROUP BY ALL
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN ends USING (tree, idx) JOIN subroots USING (tree), roots
+"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of two tokenizers, the cuts they share, and its links weighed by the corpus."""
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -240,6 +320,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": op8_quality_model,
     "op9_mixing": op9_mixing,
     "op10_top_k": op10_top_k,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_page_text": op13_page_text,
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
@@ -248,4 +331,5 @@ SQL: dict[str, str] = {
     "op6_chat_formatting": OP6_SQL,
     "op9_mixing": OP9_SQL,
     "op10_top_k": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
