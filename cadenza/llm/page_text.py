@@ -190,6 +190,8 @@ def kept_lines(lengths: np.ndarray, stripped: np.ndarray, least: int | None = No
 def main_text(page: str | None) -> tuple[str, int, int]:
     """The main text of a page, its number of lines with text, and how many of these it took."""
     lines = lines_of(page or "")
+    if not lines:
+        return "", 0, 0
     texts, plain, declared, stripped = zip(*lines, strict=True)
     lengths, declared, stripped = np.array(plain, np.int64), np.array(declared), np.array(stripped)
     mine = np.where(stripped, 0, lengths)
