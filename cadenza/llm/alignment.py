@@ -8,7 +8,7 @@ The count of a pair of ids is how many documents hold it linked, so each documen
 pairs are its postings. They are packed by A's id for each batch of documents, and written. Then they are
 shuffled by A's id: sorted, so that Spark may spill, a task reads an id's partial counts first, works
 out counts and the highest one, and then streams the id's postings and emits each document's
-contributions, which are summed by document.
+contributions, summed by document in the task, and then over tasks.
 
 An id that many postings have is dealt to several tasks, by batches; each of them gets the id's counts (at
 most as many as B has ids), summed before they are copied. How many postings an id has is a table
@@ -264,22 +264,27 @@ def _struct(fields: str) -> pa.DataType:
 
 
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (a, salt, kind, b): an id's counts (kind 0), then its postings (kind 1) -> row, best, total."""
+    """Rows sorted by (a, salt, kind, b): an id's counts (kind 0), then its postings (kind 1) -> base, docs, best, total: sums for a batch's documents."""
     key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     waiting = 0
 
-    def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = np.concatenate([h[0] for h in held])
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        return rows[first], *(np.add.reduceat(np.concatenate([h[i] for h in held])[order], first) for i in (1, 2))
+    def summed() -> tuple[np.ndarray, ...]:
+        base, row = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        # A batch's rows are neighbours, so the order of rows is that of batches.
+        order = np.argsort(row, kind="stable")
+        base, row = base[order], row[order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        return base[first], row[first], *(np.add.reduceat(np.concatenate([h[i] for h in held])[order], first) for i in (2, 3))
 
     def out() -> Iterator[pa.RecordBatch]:
-        found = summed()
-        for i in range(0, len(found[0]), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 10_000]) for x in found], ["row", "best", "total"])
+        base, row, best, total = summed()
+        first = np.flatnonzero(np.concatenate([[True], base[1:] != base[:-1]]))
+        for i in range(0, len(first), 500):
+            few = np.append(first[i : i + 500], len(base) if i + 500 >= len(first) else first[i + 500])
+            a, z, cuts = few[0], few[-1], pa.array(few - few[0], pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, x) for x in (pa.array((row - base)[a:z], pa.int32()), pa.array(best[a:z]), pa.array(total[a:z]))]
+            yield pa.RecordBatch.from_arrays([pa.array(base[few[:-1]]), *lists], ["base", "docs", "best", "total"])
 
     for batch in batches:
         kind = batch.column("kind").to_numpy()
@@ -298,9 +303,9 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             bs, ns, docs, times = (posts.column(c) for c in ("bs", "ns", "docs", "times"))
             a = np.repeat(posts.column("a").to_numpy().astype(np.int64), np.diff(bs.offsets.to_numpy()))
             at = np.repeat(np.searchsorted(key, a << 32 | bs.flatten().to_numpy()), ns.flatten().to_numpy())
-            rows = np.repeat(posts.column("base").to_numpy(), np.diff(docs.offsets.to_numpy())) + docs.flatten().to_numpy()
+            base = np.repeat(posts.column("base").to_numpy(), np.diff(docs.offsets.to_numpy()))
             m = times.flatten().to_numpy().astype(np.int64)
-            held.append((rows, np.where(count[at] == highest[at], m, 0), m * count[at]))
+            held.append((base, base + docs.flatten().to_numpy(), np.where(count[at] == highest[at], m, 0), m * count[at]))
             waiting += len(m)
             if waiting > 4 * HELD:
                 held = [summed()]
@@ -339,8 +344,11 @@ def aligned(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_3
         "a", salt.alias("salt"), F.lit(1).alias("kind"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("n"), "base", "bs", "ns", "docs", "times"
     )
     streams = first.unionByName(then).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "b")
-    given = streams.mapInArrow(_contributions, "row bigint, best bigint, total bigint")
-    sums = given.groupBy("row").agg(F.sum("best").alias("best"), F.sum("total").alias("total"))
+    # One row for each task and batch of documents, dealt by batches: a document's sums meet in one task.
+    given = streams.mapInArrow(_contributions, "base bigint, docs array<int>, best array<bigint>, total array<bigint>").repartition("base")
+    each = given.select("base", F.inline(F.arrays_zip("docs", "best", "total")))
+    sums = each.groupBy("base", "docs").agg(F.sum("best").alias("best"), F.sum("total").alias("total"))
+    sums = sums.select((F.col("base") + F.col("docs")).alias("row"), "best", "total")
     documents = both.where("doc IS NOT NULL").select("doc.*")
     return documents.join(sums, "row", "left").select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("best", F.lit(0)).cast("long").alias("n_best"), F.coalesce("total", F.lit(0)).cast("long").alias("count_sum"), "groups_sha256"
