@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,16 @@ def test_alignment_in_small_pieces(monkeypatch):
     assert all((x == y).all() if hasattr(x, "all") else x == y for x, y in zip(whole, again, strict=True))
 
 
+def test_plain_texts_are_cut_alike():
+    """Each plain character, alone and among letters, digits, signs and spaces, gives the same ids by both libraries."""
+    characters = [chr(c) for c in range(0x250) if alignment.PLAIN.fullmatch(chr(c))]
+    texts = [f" {x}{c}{y}" for c in characters for x, y in (("", ""), ("a", "b"), ("1", "2"), (" ", " "), ("!", "?"), ("'", "s"), ("\n", "\n"), ("é ", " é"), (c, c), (" a", "1 "))]
+    texts += [f" {''.join(np.random.default_rng(i).choice(characters, 60))}" for i in range(2_000)]
+    assert alignment.fast_model("byte_bpe_50k.json") is not None and all(alignment.PLAIN.fullmatch(t) for t in texts)
+    want = alignment.byte_model("byte_bpe_50k.json").encode_batch(texts, add_special_tokens=False)
+    assert [x.tolist() for x in alignment.byte_ids(texts, "byte_bpe_50k.json")] == [e.ids for e in want]
+
+
 def test_alignment_of_nothing(spark, none, messy):
     assert alignment.aligned(none).collect() == []
     got = {r.doc_id: r for r in alignment.aligned(messy).collect()}
