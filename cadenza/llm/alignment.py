@@ -297,22 +297,41 @@ def _struct(fields: str) -> pa.DataType:
     return pa.struct([(name, types[kind]) for name, kind in (f.split(" ") for f in fields.split(", "))])
 
 
+def _summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """base, row, best, total of parts, summed by row. A batch's rows are neighbours, so the order of rows is that of batches."""
+    base, row = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+    order = np.argsort(row, kind="stable")
+    base, row = base[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    return base[first], row[first], *(np.add.reduceat(np.concatenate([h[i] for h in held])[order], first) for i in (2, 3))
+
+
+def _document_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """base, docs, best, total, sorted by base -> row, best, total: one row for each document."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bases = batch.column("base").to_numpy()
+        docs, best, total = (batch.column(c) for c in ("docs", "best", "total"))
+        base = np.repeat(bases, np.diff(docs.offsets.to_numpy()))
+        parts = _summed([*held, (base, base + docs.flatten().to_numpy(), best.flatten().to_numpy(), total.flatten().to_numpy())])
+        # Only the last batch of documents may go on.
+        done = parts[0] != bases[-1]
+        held = [tuple(x[~done] for x in parts)]
+        yield pa.RecordBatch.from_arrays([pa.array(x[done]) for x in parts[1:]], ["row", "best", "total"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0][1:]], ["row", "best", "total"])
+
+
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (a, salt, kind, b): an id's counts (kind 0), then its postings (kind 1) -> base, docs, best, total: sums for a batch's documents."""
     key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
     held: list[tuple[np.ndarray, ...]] = []
     waiting = 0
 
-    def summed() -> tuple[np.ndarray, ...]:
-        base, row = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        # A batch's rows are neighbours, so the order of rows is that of batches.
-        order = np.argsort(row, kind="stable")
-        base, row = base[order], row[order]
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        return base[first], row[first], *(np.add.reduceat(np.concatenate([h[i] for h in held])[order], first) for i in (2, 3))
-
     def out() -> Iterator[pa.RecordBatch]:
-        base, row, best, total = summed()
+        base, row, best, total = _summed(held)
         first = np.flatnonzero(np.concatenate([[True], base[1:] != base[:-1]]))
         for i in range(0, len(first), 500):
             few = np.append(first[i : i + 500], len(base) if i + 500 >= len(first) else first[i + 500])
@@ -342,7 +361,7 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             held.append((base, base + docs.flatten().to_numpy(), np.where(count[at] == highest[at], m, 0), m * count[at]))
             waiting += len(m)
             if waiting > 4 * HELD:
-                held = [summed()]
+                held = [_summed(held)]
                 waiting = len(held[0][0])
                 if waiting > HELD:
                     yield from out()
@@ -379,10 +398,8 @@ def aligned(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_3
     )
     streams = first.unionByName(then).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "b")
     # One row for each task and batch of documents, dealt by batches: a document's sums meet in one task.
-    given = streams.mapInArrow(_contributions, "base bigint, docs array<int>, best array<bigint>, total array<bigint>").repartition("base")
-    each = given.select("base", F.inline(F.arrays_zip("docs", "best", "total")))
-    sums = each.groupBy("base", "docs").agg(F.sum("best").alias("best"), F.sum("total").alias("total"))
-    sums = sums.select((F.col("base") + F.col("docs")).alias("row"), "best", "total")
+    given = streams.mapInArrow(_contributions, "base bigint, docs array<int>, best array<bigint>, total array<bigint>")
+    sums = given.repartition("base").sortWithinPartitions("base").mapInArrow(_document_sums, "row bigint, best bigint, total bigint")
     documents = both.where("doc IS NOT NULL").select("doc.*")
     return documents.join(sums, "row", "left").select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("best", F.lit(0)).cast("long").alias("n_best"), F.coalesce("total", F.lit(0)).cast("long").alias("count_sum"), "groups_sha256"
