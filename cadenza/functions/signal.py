@@ -154,3 +154,72 @@ def downbeat(rise: np.ndarray) -> tuple[int, float]:
     novelty = np.maximum(rise[4:] - rise[:-4], 0)
     votes = np.bincount(np.arange(4, len(rise)) % 4, novelty, 4)
     return int(votes.argmax()), float(votes.max() / votes.sum()) if votes.sum() > 0 else 0.0
+
+
+# Fixed values of where a print looks: seconds, windows, and the frequencies of its bands.
+PRINT_START, PRINT_SECONDS, PRINT_STEP, PRINT_SKIPS = 30.0, 60.0, 0.5, 100.0
+PRINT_WINDOWS, PRINT_BANDS, PRINT_LOW, PRINT_HIGH = 24, 24, 60.0, 6000.0
+PRINT_MISSING = 0.25
+
+
+def print_grid(seconds: Column) -> Column:
+    """struct(start, step, length, n): where a print looks at a recording. Null without a length.
+
+    Long recordings skip their intro. The step is a share of the rest, rounded down to a quantum, so copies whose
+    lengths differ by little have the same grid; a short one is a single window, all there is.
+    """
+    start = F.when(seconds > PRINT_SKIPS, PRINT_START).otherwise(0.0)
+    rest, length = seconds - start, PRINT_SECONDS / PRINT_WINDOWS
+    step = F.greatest(F.lit(length), F.floor(rest / PRINT_WINDOWS / PRINT_STEP) * PRINT_STEP)
+    many = F.struct(start.alias("start"), step.alias("step"), F.lit(length).alias("length"), F.lit(PRINT_WINDOWS).alias("n"))
+    one = F.struct(start.alias("start"), F.lit(0.0).alias("step"), rest.alias("length"), F.lit(1).alias("n"))
+    return F.when((rest > 0) & (seconds < float("inf")), F.when(rest < PRINT_SECONDS, one).otherwise(many))
+
+
+def print_windows(grid: Column) -> Column:
+    """array of struct(offset, length) in seconds."""
+    return F.transform(F.sequence(F.lit(0), grid.n - 1), lambda k: F.struct((grid.start + k * grid.step).alias("offset"), grid["length"].alias("length")))
+
+
+def windowed(y: np.ndarray, rate: float, start: float, step: float, length: float, n: int) -> np.ndarray | None:
+    """The samples of a grid's windows, one after another, each of its exact length; None if one misses more than a moment."""
+    size, parts = round(length * rate), []
+    for k in range(n):
+        first = round((start + k * step) * rate)
+        part = y[first : first + size]
+        if len(part) < size - int(rate * PRINT_MISSING):
+            return None
+        parts.append(np.pad(part, (0, size - len(part))))
+    return np.concatenate(parts) if parts else None
+
+
+def window_print(y: np.ndarray | None, rate: float, low: float = PRINT_LOW, high: float = PRINT_HIGH, size: int = 8192) -> np.ndarray | None:
+    """Levels in dB of PRINT_WINDOWS equal parts by PRINT_BANDS bands, each band's mean removed, of unit deviation: how each band changes over time."""
+    part = 0 if y is None else len(y) // PRINT_WINDOWS
+    if part < 512 or len(y) < rate * 2:
+        return None
+    edges = np.geomspace(low, high, PRINT_BANDS + 1)
+    rows = []
+    for k in range(PRINT_WINDOWS):
+        level = spectrum(y[k * part : (k + 1) * part], size)
+        hz = np.linspace(0, rate / 2, len(level))
+        rows.append([level[(hz >= a) & (hz < b)].mean() if ((hz >= a) & (hz < b)).any() else -120.0 for a, b in zip(edges, edges[1:], strict=False)])
+    table = np.array(rows) - np.mean(rows, axis=0)
+    spread = table.std()
+    return (table / spread).ravel() if spread > 1e-9 else None
+
+
+def window_prints(rate: float, low: float = PRINT_LOW, high: float = PRINT_HIGH, size: int = 8192):
+    """An Arrow UDF: (PCM, grid) -> print, or null."""
+
+    @F.pandas_udf("array<double>")
+    def measure(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
+        for pcm, grid in batches:
+            found = []
+            for y, start, step, length, n in zip(pcm, grid["start"], grid["step"], grid["length"], grid["n"], strict=True):
+                known = y is not None and n == n and n is not None
+                got = window_print(windowed(np.asarray(y, float), rate, start, step, length, int(n)), rate, low, high, size) if known else None
+                found.append(got)
+            yield pd.Series(found)
+
+    return measure

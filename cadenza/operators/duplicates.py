@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.functions import signal
 from cadenza.operators.components import connected
+from cadenza.sources.staging import staged
 
 #: Correlation of fingerprints from which two recordings are one.
 SAME = 0.90
@@ -27,8 +29,23 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((n != F.size(b)) | (n == 0), 0.0).when(below > 1e-18, (products(a, b) - sa * sb / n) / F.sqrt(below)).otherwise(0.0)
 
 
-def pairs(df: DataFrame, least: float = SAME) -> DataFrame:
-    """a, b, similarity with a < b: recordings (path, duration, print) whose lengths agree and prints correlate.
+def unit(print_: Column) -> Column:
+    """A print without its mean and of length 1, so that the product of two is their correlation; null without variance. Worked out once for each recording."""
+    # As the element of an array a value is worked out once; named directly, once for each element that a lambda sees.
+    once = lambda value, body: F.get(F.transform(F.array(value), body), 0)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda t, v: t + v)
+    centred = once(F.transform(print_, lambda v: v.cast("double")), lambda x: once(total(x) / F.size(x), lambda mean: F.transform(x, lambda v: v - mean)))
+    square = lambda x: F.aggregate(x, F.lit(0.0), lambda t, v: t + v * v)
+    return once(centred, lambda x: once(square(x), lambda n: F.when(n > 1e-18, F.transform(x, lambda v: v / F.sqrt(n)))))
+
+
+def product(a: Column, b: Column) -> Column:
+    """The correlation of two ``unit`` prints; 0 for other shapes or none."""
+    return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v)).otherwise(0.0)
+
+
+def near_lengths(rows: DataFrame, *carried: str) -> DataFrame:
+    """a, b (paths, a < b), a_seconds, b_seconds and a_*, b_* of other columns, for pairs whose lengths agree.
 
     Lengths stand on a scale of steps no narrower than the tolerance, so a partner is in the same or a
     neighbouring step; each row on the left is repeated three times and joined by equality.
@@ -36,11 +53,44 @@ def pairs(df: DataFrame, least: float = SAME) -> DataFrame:
     step = F.when(F.col("duration") <= SECONDS / SHARE, F.floor(F.col("duration") / SECONDS)).otherwise(
         F.lit(int(SECONDS / SHARE / SECONDS)) + F.floor(F.log(F.col("duration") / (SECONDS / SHARE)) / F.log(F.lit(1 + SHARE)))
     )
-    rows = df.where(F.col("print").isNotNull() & (F.col("duration") > 0)).withColumn("step", step.cast("long"))
-    left = rows.select(F.col("path").alias("a"), F.col("duration").alias("a_seconds"), F.col("print").alias("a_print"), F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("near"))
-    right = rows.select(F.col("path").alias("b"), F.col("duration").alias("b_seconds"), F.col("print").alias("b_print"), "step")
-    met = left.join(right, (F.col("near") == F.col("step")) & (F.col("a") < F.col("b"))).where(lengths_agree(F.col("a_seconds"), F.col("b_seconds")))
-    return met.select("a", "b", similarity(F.col("a_print"), F.col("b_print")).alias("similarity")).where(F.col("similarity") >= least)
+    rows = rows.where(F.col("duration") > 0).withColumn("step", step.cast("long"))
+    side = lambda x: [F.col("path").alias(x), F.col("duration").alias(f"{x}_seconds"), *(F.col(c).alias(f"{x}_{c}") for c in carried)]
+    left = rows.select(*side("a"), F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("near"))
+    met = left.join(rows.select(*side("b"), "step"), (F.col("near") == F.col("step")) & (F.col("a") < F.col("b")))
+    return met.where(lengths_agree(F.col("a_seconds"), F.col("b_seconds"))).drop("near", "step")
+
+
+def pairs(df: DataFrame, least: float = SAME) -> DataFrame:
+    """a, b, similarity with a < b: recordings (path, duration, print) whose lengths agree and prints correlate."""
+    rows = df.select("path", "duration", unit(F.col("print")).alias("print"))
+    met = near_lengths(rows.where(F.col("print").isNotNull()), "print")
+    return met.select("a", "b", product(F.col("a_print"), F.col("b_print")).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def regridded_pairs(audio: DataFrame, rate: float, least: float = SAME, low: float = signal.PRINT_LOW, high: float = signal.PRINT_HIGH) -> DataFrame:
+    """a, b, similarity, regridded with a < b: recordings (path, duration, pcm) of one sound, also where their prints look at other places.
+
+    A length decides where a print looks (``signal.print_grid``), so a copy that is a little longer may look elsewhere and
+    have nothing in common. For such a pair the longer recording is printed once more on the shorter one's grid, once
+    for each grid that is asked of it. If that fails, the prints are compared as they are. Unreadable recordings
+    have no print and are in no pair. Samples travel with their recording only, never with pairs.
+    """
+    take = signal.window_prints(rate, low, high)
+    grid = signal.print_grid(F.col("duration"))
+    rows = audio.select("path", "duration", "pcm").withColumn("grid", grid).withColumn("print", take(F.col("pcm"), F.col("grid")))
+    rows = staged(rows.select("path", "duration", "grid", "print").where(F.col("print").isNotNull()), "duplicate-prints")
+    rows = rows.withColumn("print", unit(F.col("print")))
+    met = staged(near_lengths(rows, "grid", "print"), "duplicate-lengths")
+    a_longer = F.struct("a_seconds", "a") > F.struct("b_seconds", "b")
+    met = met.withColumn("other", ~F.col("a_grid").eqNullSafe(F.col("b_grid")))
+    met = met.withColumn("long", F.when(a_longer, F.col("a")).otherwise(F.col("b"))).withColumn("on", F.when(a_longer, F.col("b_grid")).otherwise(F.col("a_grid")))
+    asked = met.where("other").select(F.col("long").alias("path"), F.col("on").alias("grid")).distinct()
+    again = asked.join(audio.select("path", "pcm"), "path").select(F.col("path").alias("long"), F.col("grid").alias("on"), take(F.col("pcm"), F.col("grid")).alias("again"))
+    again = staged(again, "duplicate-again").withColumn("again", unit(F.col("again")))
+    known = met.join(again.where(F.col("again").isNotNull()), ["long", "on"], "left")
+    new = F.col("other") & F.col("again").isNotNull()
+    a, b = F.when(new & a_longer, F.col("again")).otherwise(F.col("a_print")), F.when(new & ~a_longer, F.col("again")).otherwise(F.col("b_print"))
+    return known.select("a", "b", product(a, b).alias("similarity"), new.alias("regridded")).where(F.col("similarity") >= least)
 
 
 def groups(found: DataFrame) -> DataFrame:

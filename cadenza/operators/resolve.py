@@ -36,3 +36,47 @@ def resolved(locations: DataFrame, files: DataFrame) -> DataFrame:
     step = F.when(F.col("best") == 10**6, "exact").when(F.col("best") > 1, "tail").when(F.col("best") == 1, "name")
     out = wanted.join(found, "location", "left")
     return out.select("location", F.when(F.col("low").isNull(), "not-found").when(one, "ok").otherwise("ambiguous").alias("state"), F.when(one, F.col("low")).alias("path"), step.alias("step"))
+
+
+def caseless(text):
+    """Text as it is compared by ``typed``: small letters, sharp s as two, one sigma."""
+    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ς", "σ")
+
+
+#: Letters of a gram, at most.
+GRAM = 3
+
+
+def _grams(text, sizes):
+    """The distinct runs of so many letters of a text."""
+    n = F.length(text)
+    cut = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*map(cut, sizes)))
+
+
+def typed(asked: DataFrame, library: DataFrame) -> DataFrame:
+    """asked, outcome (path, one, several, none), n, path: which item of ``library`` (path, artist, title) a typed text means.
+
+    The whole path decides. Else every item whose file name or label has the text in it counts, whatever the
+    case: one is it; several are one row each, and none is picked; a text without any has one row with a null path. A
+    text is looked up by its rarest run of three letters (all of it, if it is shorter), so no text meets items
+    that lack these. Null and empty texts mean nothing.
+    """
+    texts = asked.select("asked").where("asked <> ''").distinct()
+    items = library.where(F.col("path").isNotNull()).dropDuplicates(["path"])
+    label = F.concat_ws(" — ", "artist", F.coalesce("title", F.lit("")))
+    shown = items.select("path", caseless(basename(F.col("path"))).alias("name"), caseless(label).alias("label"))
+    whole = texts.join(items.select("path"), F.col("asked") == F.col("path"))
+    rest = texts.join(whole.select("asked"), "asked", "left_anti").withColumn("text", caseless(F.col("asked")))
+    # Both texts of an item, told apart, so that no gram runs over from one to the other.
+    posted = shown.select("path", "name", "label", F.explode(F.array_union(_grams(F.col("name"), range(1, GRAM + 1)), _grams(F.col("label"), range(1, GRAM + 1)))).alias("gram"))
+    sizes = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("items"))
+    own = F.when(F.length("text") < GRAM, F.array("text")).otherwise(_grams(F.col("text"), [GRAM]))
+    wanted = rest.withColumn("gram", F.explode(own)).join(sizes, "gram", "left")
+    rarest = wanted.groupBy("asked", "text").agg(F.min(F.struct(F.coalesce("items", F.lit(0)).alias("items"), "gram")).alias("least")).select("asked", "text", F.col("least.gram").alias("gram"))
+    met = rarest.join(posted, "gram").where(F.contains("name", F.col("text")) | F.contains("label", F.col("text"))).select("asked", "path")
+    counts = met.groupBy("asked").agg(F.count(F.lit(1)).alias("n"))
+    several = met.join(counts, "asked").select("asked", F.when(F.col("n") == 1, "one").otherwise("several").alias("outcome"), "n", "path")
+    one = F.lit(1).cast("long").alias("n")
+    none = rest.join(counts, "asked", "left_anti").select("asked", F.lit("none").alias("outcome"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("path"))
+    return whole.select("asked", F.lit("path").alias("outcome"), one, "path").unionByName(several).unionByName(none)

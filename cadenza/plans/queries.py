@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from cadenza.functions import keys, quality, tempo, text
 from cadenza.functions.scoring import SetConfig, energy_target, mixability, reason
 from cadenza.operators import bridge, crates, cues, duplicates, evaluation, export, identity, library, names, neighbours, resolve, saved, search, setbuilder, stats
-from cadenza.plans import measures, sessions, surrogate, upkeep
+from cadenza.plans import intake, kernels, measures, sessions, surrogate, upkeep, ways
 from cadenza.sources import readers
 from cadenza.sources.staging import staged
 from cadenza.streaming import watch
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = upkeep.QUERIES | measures.QUERIES | sessions.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = upkeep.QUERIES | measures.QUERIES | sessions.QUERIES | ways.QUERIES | kernels.QUERIES | intake.QUERIES
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

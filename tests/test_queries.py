@@ -6,9 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from cadenza.plans import oracle, queries, session_sql
+from cadenza.plans import intake, kernels, oracle, queries, session_sql, ways
 
-SQL = oracle.SQL | session_sql.SQL
+SQL = oracle.SQL | session_sql.SQL | ways.SQL | kernels.SQL | intake.SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
