@@ -9,25 +9,26 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import reach, routes
 from cadenza.plans import surrogate
-from cadenza.plans.oracle import BIG, distance, mix
+from cadenza.plans.oracle import BIG, LIBRARY, distance, mix
 
 #: Tempi of two islands that no hop joins, each with octaves of its own inside: the least tempo and the tenths above it, by the item's number modulo 4.
 ISLANDS = ((118, 140), (88, 120), (59, 70), (178, 200))
 
 
-def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The large library with tempi of islands, so that not every item can be reached."""
-    i = F.col("p_partkey")
+def islands(spark: SparkSession, sf_dir: str, large: bool) -> DataFrame:
+    """number, path, bpm, key, duration: the library, or the large one, with tempi of islands, so that not every item can be reached."""
+    rows = surrogate.big_library(spark, sf_dir).withColumnRenamed("p_partkey", "number") if large else surrogate.library(spark, sf_dir).withColumnRenamed("vec_id", "number")
+    i = F.col("number")
     at = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in ISLANDS)), (i % 4 + 1).cast("int"))
-    return surrogate.big_library(spark, sf_dir).withColumn("bpm", F.when(i % 97 == 0, 0.0).otherwise(at(0) + (i * 7919) % at(1) / 10))
+    return rows.select("number", "path", F.when(i % 97 == 0, 0.0).otherwise(at(0) + (i * 7919) % at(1) / 10).alias("bpm"), "key", "duration")
 
 
-def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A start for each nation and a goal for each region: items of both islands, fragments and items without a tempo among them."""
-    lib = islands(spark, sf_dir)
-    nation, region = surrogate.table(spark, sf_dir, "nation"), surrogate.table(spark, sf_dir, "region")
-    pick = lambda rows, key, times: rows.select((F.col(key) * times).alias("at")).join(lib.groupBy((F.col("p_partkey") % 200).alias("at")).agg(F.min("path").alias("path")), "at")
-    return pick(nation, "n_nationkey", 7).select(F.col("path").alias("start")).join(F.broadcast(pick(region, "r_regionkey", 31).select(F.col("path").alias("goal"))))
+def asked(spark: SparkSession, sf_dir: str, lib: DataFrame) -> DataFrame:
+    """A start for each nation, and its region's item as the goal: items of both islands, fragments and items without a tempo among them."""
+    nation = surrogate.table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 7).alias("a"), (F.col("n_regionkey") * 31).alias("b"))
+    firsts = lib.groupBy((F.col("number") % 200).alias("at")).agg(F.min("path").alias("path"))
+    pick = lambda end, name: firsts.select(F.col("at").alias(end), F.col("path").alias(name))
+    return nation.join(pick("a", "start"), "a").join(pick("b", "goal"), "b").select("start", "goal")
 
 
 def tempo_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,34 +41,31 @@ def tempo_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bridge_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fewest hops between items of two islands, or how many tracks each end reaches if there is no way."""
-    return reach.diagnosed(asked(spark, sf_dir), islands(spark, sf_dir).select("path", "bpm", "key", "duration"))
+    lib = islands(spark, sf_dir, True)
+    return reach.diagnosed(asked(spark, sf_dir, lib), lib)
 
 
 def long_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest way over three or four others, its cost, or why there is none."""
-    out = routes.routes(asked(spark, sf_dir), islands(spark, sf_dir).select("path", "bpm", "key", "duration"), 3, 4)
+    lib = islands(spark, sf_dir, False)
+    out = routes.routes(asked(spark, sf_dir, lib), lib, 3, 4)
     six = lambda c: F.round(c, 6) + F.lit(0.0)
     return out.select("start", "goal", six("cost").alias("cost"), six("direct").alias("direct"), "stop", "hops", "from_start", "to_goal")
 
 
 _TRACKS = "tracks AS (SELECT path, bpm, key FROM islands WHERE duration >= 90 AND bpm > 0)"
 _LOWS, _WIDTHS = ([x[k] for x in ISLANDS] for k in (0, 1))
-_TEMPO = f"CASE WHEN p_partkey % 97 = 0 THEN 0::DOUBLE ELSE {_LOWS}[p_partkey % 4 + 1] + ((p_partkey * 7919) % {_WIDTHS}[p_partkey % 4 + 1])::DOUBLE / 10 END"
-_ASKED = f"""islands AS (SELECT * REPLACE ({_TEMPO} AS bpm) FROM big), firsts AS (SELECT p_partkey % 200 AS at_, min(path) AS path FROM islands GROUP BY ALL),
-    asked AS (SELECT DISTINCT a.path AS start, b.path AS goal FROM nation JOIN firsts a ON a.at_ = n_nationkey * 7, region JOIN firsts b ON b.at_ = r_regionkey * 31)"""
+_TEMPO = f"CASE WHEN number % 97 = 0 THEN 0::DOUBLE ELSE {_LOWS}[number % 4 + 1] + ((number * 7919) % {_WIDTHS}[number % 4 + 1])::DOUBLE / 10 END"
+_LARGE, _SMALL = f"{BIG}, lib AS (SELECT p_partkey AS number, * FROM big)", f"{LIBRARY}, lib AS (SELECT vec_id AS number, * FROM library)"
+_ASKED = f"""islands AS (SELECT * REPLACE ({_TEMPO} AS bpm) FROM lib), firsts AS (SELECT number % 200 AS at_, min(path) AS path FROM islands GROUP BY ALL),
+    asked AS (SELECT DISTINCT a.path AS start, b.path AS goal FROM nation JOIN firsts a ON a.at_ = n_nationkey * 7 JOIN firsts b ON b.at_ = n_regionkey * 31)"""
 _REACH = f"""tempi AS (SELECT bpm, count(*) AS n FROM tracks GROUP BY bpm), near AS (SELECT a.bpm AS a, b.bpm AS b FROM tempi a JOIN tempi b ON {distance("a.bpm", "b.bpm")} < 0.08::DOUBLE)"""
-#: Hops by tempo, each level the tempi that no level before has; a level's tempi are a list.
-_LEVELS = """levels AS (
-        SELECT bpm AS origin, 0 AS h, [bpm] AS now, [bpm] AS seen FROM origins
-        UNION ALL
-        SELECT origin, h, now, list_distinct(seen || now) FROM (
-            SELECT l.origin, l.h + 1 AS h, any_value(l.seen) AS seen, list(DISTINCT near.b) FILTER (NOT list_contains(l.seen, near.b)) AS now
-            FROM (SELECT origin, h, seen, unnest(now) AS u FROM levels) l JOIN near ON near.a = l.u GROUP BY l.origin, l.h
-        ) WHERE len(now) > 0 AND h < 60
-    ), hops AS (SELECT origin, unnest(now) AS bpm, h FROM levels)"""
+#: Hops by tempo: each level is all that is within so many hops. These tempi span so few octaves that 14 hops reach all that can be reached.
+_LEVELS = """levels AS (SELECT bpm AS origin, bpm, 0 AS h FROM origins UNION SELECT origin, near.b, h + 1 FROM levels JOIN near ON near.a = levels.bpm WHERE h < 14),
+    hops AS (SELECT origin, bpm, min(h) AS h FROM levels WHERE h > 0 GROUP BY ALL)"""
 _DIAGNOSED = f"""{_ASKED}, {_TRACKS}, {_REACH}, origins AS (SELECT DISTINCT t.bpm FROM asked JOIN tracks t ON t.path IN (start, goal)), {_LEVELS},
     sizes AS (SELECT origin, sum(n) - 1 AS n FROM hops JOIN tempi USING (bpm) GROUP BY origin),
-    known AS (SELECT start, goal, a.bpm AS a, b.bpm AS b, a.key AS k, b.key AS n, CASE WHEN h = 0 THEN 1 ELSE h END AS hops FROM asked JOIN tracks a ON a.path = start JOIN tracks b ON b.path = goal
+    known AS (SELECT start, goal, a.bpm AS a, b.bpm AS b, a.key AS k, b.key AS n, h AS hops FROM asked JOIN tracks a ON a.path = start JOIN tracks b ON b.path = goal
         LEFT JOIN hops ON hops.origin = a.bpm AND hops.bpm = b.bpm),
     diagnosed AS (SELECT start, goal, hops, CASE WHEN hops IS NULL THEN x.n::BIGINT END AS from_start, CASE WHEN hops IS NULL THEN y.n::BIGINT END AS to_goal
         FROM known JOIN sizes x ON x.origin = a JOIN sizes y ON y.origin = b)"""
@@ -89,10 +87,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"tempo_hops": te
 SQL = {
     "tempo_hops": f"""WITH RECURSIVE {BIG}, tracks AS (SELECT path, bpm FROM big WHERE duration >= 90 AND bpm > 0), {_REACH},
         starts AS (SELECT path, bpm FROM big JOIN nation ON p_partkey = n_nationkey * 7 + 3 WHERE duration >= 90 AND bpm > 0), origins AS (SELECT DISTINCT bpm FROM starts), {_LEVELS}
-        SELECT s.path AS start, (CASE WHEN h = 0 THEN 1 ELSE h END)::INT AS hops, count(*) AS tracks, min(t.path) AS first
+        SELECT s.path AS start, h::INT AS hops, count(*) AS tracks, min(t.path) AS first
         FROM starts s JOIN hops ON origin = s.bpm JOIN tracks t ON t.bpm = hops.bpm WHERE t.path <> s.path GROUP BY ALL""",
-    "bridge_reasons": f"WITH RECURSIVE {BIG}, {_DIAGNOSED} SELECT start, goal, hops::INT AS hops, from_start, to_goal FROM diagnosed",
-    "long_bridges": f"""WITH RECURSIVE {BIG}, {_DIAGNOSED}, {_HALVES},
+    "bridge_reasons": f"WITH RECURSIVE {_LARGE}, {_DIAGNOSED} SELECT start, goal, hops::INT AS hops, from_start, to_goal FROM diagnosed",
+    "long_bridges": f"""WITH RECURSIVE {_SMALL}, {_DIAGNOSED}, {_HALVES},
         ends AS (SELECT start, goal, a.bpm AS a, b.bpm AS b, a.key AS k, b.key AS n, CASE WHEN a.duration < 90 OR b.duration < 90 THEN 'fragment' WHEN start = goal THEN 'same' WHEN NOT (a.bpm > 0 AND b.bpm > 0) THEN 'no-tempo' END AS no
             FROM asked JOIN islands a ON a.path = start JOIN islands b ON b.path = goal)
         SELECT start, goal, round(cost, 6) + 0.0::DOUBLE AS cost, CASE WHEN {distance("a", "b")} < 0.08::DOUBLE THEN round(-ln({mix("a", "k", "b", "n")}), 6) + 0.0::DOUBLE END AS direct,
