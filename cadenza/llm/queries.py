@@ -218,13 +218,14 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH good AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
-    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    SELECT row_number() OVER () AS nth, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-    SELECT q.nth, q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score
-    FROM (SELECT *, row_number() OVER () AS nth FROM good WHERE vec_id % 50 = 0) q JOIN good d ON q.vec_id <> d.vec_id
+    SELECT q.nth, q.vec_id AS query_id, d.vec_id, CASE WHEN len(q.v) = len(d.v) AND len(q.v) > 0 THEN list_dot_product(q.v, d.v)
+        ELSE coalesce(list_sum(list_transform(range(1, least(len(q.v), len(d.v)) + 1), lambda i: q.v[i] * d.v[i])), 0) END::BIGINT AS score
+    FROM (SELECT * FROM good WHERE vec_id % 50 = 0) q JOIN good d ON q.nth <> d.nth
 ), ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY nth ORDER BY score DESC, vec_id) AS rank FROM scored
+    SELECT *, row_number() OVER (PARTITION BY nth ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """

@@ -211,13 +211,13 @@ def test_mixed_rows_repeat_as_taken(messy):
     assert got == +want
 
 
-def brute_top(q, d, k):
-    """Of lists of (id, vector): each query row's results, sorted."""
+def brute_top(queries, rows, k):
+    """Of (row, id, vector): the best k rows but the query's own; ties to the smaller id, none last."""
     out = []
-    for i, v in q:
-        scored = sorted((-int(sum(a * b for a, b in zip(v, w, strict=False))), j) for j, w in d if j != i)[:k]
-        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
-    return sorted(out)
+    for n, i, q in queries:
+        ranked = sorted((-sum(a * b for a, b in zip(q, x, strict=False)), j is None, j or 0) for m, j, x in rows if m != n)[:k]
+        out += [(i, r + 1, None if none else j, -s) for r, (s, none, j) in enumerate(ranked)]
+    return sorted(out, key=repr) if any(x[2] is None for x in out) else sorted(out)
 
 
 def test_top_k_by_definition(spark):
@@ -225,18 +225,42 @@ def test_top_k_by_definition(spark):
     v = draw.normal(size=(400, 8)).round(2)
     v[100:180] = v[100]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [1.0, float("nan")] + [0.0] * 6), (902, [float("inf")] * 8), (903, []), (None, [1.0] * 8), (904, [None] + [1.0] * 7), (905, [1.0, 2.0])]
-    rows += [(0, v[7].tolist()), (5, v[5].tolist()), (5, v[5].tolist()), (11, v[100].tolist())] + [(12, v[12].tolist())] * 9  # ids and rows that repeat
+    rows += [(0, v[7].tolist()), (5, v[5].tolist()), (5, v[5].tolist()), (11, v[100].tolist()), (None, [1.0] * 8), (None, v[3].tolist()), (910, [])] + [(12, v[12].tolist())] * 9  # ids and rows that repeat
     df = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(0)))
-    whole = [(i, [math.floor(256 * c) for c in x]) for i, x in rows if i is not None and x and all(c is not None and math.isfinite(c) for c in x)]
-    want = brute_top([x for x in whole if x[0] % 5 == 0], whole, 5)
+    whole = [(n, i, [math.floor(256 * c) for c in x]) for n, (i, x) in enumerate(rows) if x is not None and all(c is not None and math.isfinite(c) for c in x)]
+    want = brute_top([x for x in whole if x[1] is not None and x[1] % 5 == 0], whole, 5)
     for options in ({"pivots": 16, "block": 20, "asked": 7}, {}):
-        assert sorted(tuple(r) for r in topk.top_k(df.where("vec_id % 5 = 0"), df, 5, **options).collect()) == want
+        assert sorted(map(repr, map(tuple, topk.top_k(df.where("vec_id % 5 = 0"), df, 5, **options).collect()))) == sorted(map(repr, want))
     few = df.where("vec_id < 3")
-    assert topk.top_k(few, few, 5).count() == len(brute_top([x for x in whole if x[0] < 3], [x for x in whole if x[0] < 3], 5))
+    assert topk.top_k(few, few, 5).count() == len(brute_top([x for x in whole if x[1] in (0, 1, 2)], [x for x in whole if x[1] in (0, 1, 2)], 5))
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0 == topk.top_k(df.where("false"), df).count()
-    small = spark.createDataFrame([(50, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.1, 0.0])], "vec_id long, embedding array<double>")
-    ids = topk.integers(small)
-    assert [tuple(r) for r in topk.top_k(ids.where("vec_id = 50"), ids).orderBy("rank").collect()] == [(50, 1, 1, 65536), (50, 2, 1, 32768), (50, 3, 2, 6400)]
+
+
+def test_only_the_own_row_is_no_candidate(spark):
+    rows = [(50, [-1.0, 0.0]), (1, [1.0, 0.0]), (2, []), (None, [-1.0, 0.0]), (50, [-2.0, 0.0])]
+    ids = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = Counter(tuple(r) for r in topk.top_k(ids.where("vec_id = 50"), ids).collect())
+    one = [(50, 1, 50, 131072), (50, 2, None, 65536), (50, 3, 2, 0), (50, 4, 1, -65536)]
+    two = [(50, 1, 50, 131072), (50, 2, None, 131072), (50, 3, 2, 0), (50, 4, 1, -131072)]
+    assert got == Counter(one + two)
+    twice = topk.integers(spark.createDataFrame([(7, [1.0]), (7, [1.0])], "vec_id long, embedding array<double>"))
+    assert [tuple(r) for r in topk.top_k(twice, twice).collect()] == [(7, 1, 7, 65536)] * 2
+    empty = topk.integers(spark.createDataFrame([(1, []), (2, [])], "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r) for r in topk.top_k(empty, empty).collect()) == [(1, 1, 2, 0), (2, 1, 1, 0)]
+
+
+def test_bounds_prune_clustered_vectors(spark):
+    """Forty clusters in 16 dimensions: a query visits a third of the cells, and still finds the same."""
+    draw = np.random.default_rng(6)
+    centres = draw.normal(size=(40, 16)) * 3
+    v = (centres[draw.integers(0, 40, 3000)] + draw.normal(size=(3000, 16)) * 0.1).round(3)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    visited = []
+    got = sorted(tuple(r) for r in topk.top_k(df.where("vec_id % 50 = 0"), df, 5, visited=visited).collect())
+    whole = [(i, i, [math.floor(256 * c) for c in x]) for i, x in rows]
+    assert got == brute_top(whole[::50], whole, 5)
+    assert sum(visited[:2]) < 0.5 * visited[2]
 
 
 def auc(label, score):
