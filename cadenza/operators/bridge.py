@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.functions.scoring import mixability
+from cadenza.functions import keys, tempo
 from cadenza.operators.library import is_track
 from cadenza.operators.neighbours import mixable_pairs
 from cadenza.sources.staging import staged
@@ -75,11 +75,11 @@ def bridges(pairs: DataFrame, library: DataFrame, low: int = 3, high: int = 4) -
         raise ValueError(f"0 <= low <= high <= {LONGEST}")
     tracks = library.where(is_track(F.col("duration"))).select("path", "bpm", "key")
     edges = staged(hop_costs(tracks), "bridge-hops")
-    ends = library.select("path", "bpm", "key", is_track(F.col("duration")).alias("track"))
+    ends = library.select("path", "bpm", keys.code(F.col("key")).alias("code"), is_track(F.col("duration")).alias("track"))
     a, b = ends.select(*(F.col(c).alias(f"start_{c}") for c in ends.columns)), ends.select(*(F.col(c).alias(f"goal_{c}") for c in ends.columns))
     asked = pairs.select("start", "goal").distinct().join(a, F.col("start") == F.col("start_path")).join(b, F.col("goal") == F.col("goal_path"))
     stop = F.when(~F.col("start_track") | ~F.col("goal_track"), "fragment").when(F.col("start") == F.col("goal"), "same").when(~(F.col("start_bpm") > 0) | ~(F.col("goal_bpm") > 0), "no-tempo")
-    direct = mixability(F.col("start_bpm"), F.col("start_key"), F.col("goal_bpm"), F.col("goal_key"))
+    direct = tempo.score(F.col("start_bpm"), F.col("goal_bpm")) * F.pow(keys.coded_compat(F.col("start_code"), F.col("goal_code")), F.lit(keys.EXPONENT))
     asked = staged(asked.select("start", "goal", F.when(direct > 0, -F.log(direct)).alias("direct"), stop.alias("stop")), "bridge-pairs")
 
     state = asked.where("stop IS NULL").select("start", "goal", F.col("start").alias("at"), F.lit(0.0).alias("cost"), F.array("start").alias("path"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import frames
-from cadenza.operators import resolve, trees
+from cadenza.operators import resolve, titles, trees
 from cadenza.plans import surrogate
 from cadenza.plans.oracle import BIG
 from cadenza.sources import playlist_xml
@@ -55,7 +55,7 @@ def typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = surrogate.table(spark, sf_dir, "orders")
     c = F.col("o_custkey")
     text = (
-        F.when(c % 5 == 0, F.concat(F.lit("/lib/"), F.lpad(c.cast("string"), 6, "0")))
+        F.when(c % 5 == 0, F.concat(F.lit("/lib/"), surrogate.padded(c)))
         .when(c % 5 == 1, F.concat(F.lit("TITLE "), c.cast("string")))
         .when(c % 5 == 2, F.concat(F.lit("Artist_"), (c % 40).cast("string"), F.lit(" — Title "), (c % 1000).cast("string")))
         .when(c % 5 == 3, F.concat(F.lit("e "), (c % 30).cast("string")))
@@ -64,6 +64,27 @@ def typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.typed(o.select(text.alias("asked")), surrogate.big_library(spark, sf_dir).select("path", "artist", "title"))
 
 
+def title_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads of the parts' songs in six layouts: each reading, the song that it finds, and how many texts a catalogue is asked."""
+    p, i = surrogate.table(spark, sf_dir, "part"), F.col("p_partkey")
+    songs = p.select(i.alias("song"), F.concat(F.lit("Band "), F.char(F.lit(65) + i % 20), F.lit("x")).alias("who"), F.concat(F.lit("Song "), (i + 100_000).cast("string")).alias("what"))  # a number that is no year
+    who, what, layout = F.col("who"), F.col("what"), F.col("song") % 6
+    title = (
+        F.when(layout == 0, F.concat(who, F.lit(" - "), what, F.lit(" (Official Video)")))
+        .when(layout == 1, F.concat(what, F.lit(" - "), who))
+        .when(layout == 2, F.concat(who, F.lit("「"), what, F.lit("」")))
+        .when(layout == 3, F.concat(who, F.lit(" | "), what, F.lit(" [Drumcode]")))
+        .when(layout == 4, F.concat(F.lit("07. "), what))
+        .otherwise(F.concat(who, F.lit(" - "), what, F.lit(" // CLIP")))
+    )
+    uploader = F.when(layout == 1, F.concat(who, F.lit(" - Topic"))).when(layout == 4, F.concat(who, F.lit("VEVO"))).otherwise("some channel")
+    read = titles.readings(songs.select("song", title.alias("title"), uploader.alias("uploader")))
+    each = read.select("song", F.posexplode("readings").alias("place", "r")).select("song", "place", "r.how", titles.artist_text(F.col("r.artist")).alias("artist"), "r.title")
+    asks = F.size(titles.search_texts(F.col("artist"), F.lower("title"), F.lit(None).cast("string"), titles.other_titles(F.col("title"))))
+    known = songs.select(F.col("song").alias("found"), "who", "what")
+    return each.withColumn("asks", asks).join(known, (F.col("artist") == F.col("who")) & (F.col("title") == F.col("what")), "left").select("song", "place", "how", "artist", "title", "found", "asks")
+
+
 def byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which bytes of the large library's files hold their middle."""
     rows = surrogate.big_library(spark, sf_dir).withColumn("size", F.when(F.col("p_partkey") % 41 == 0, None).otherwise(F.col("p_partkey") * 7919 % 9_000_000 + 1_000))
@@ -95,7 +116,7 @@ def single_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.join(cycle.select("path", "alone"), "path", "left").select("path", "state", "attempts", F.coalesce("alone", F.lit(False)).alias("alone"), F.unix_seconds("next_attempt").alias("next_attempt"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (xml_trees, typed_names, byte_ranges, first_frames, single_retries)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (xml_trees, typed_names, title_readings, byte_ranges, first_frames, single_retries)}
 SQL = {
     "xml_trees": """WITH l AS (SELECT l_suppkey, count(*) AS entries, arg_max(l_partkey, (l_orderkey, l_linenumber, l_partkey::VARCHAR)) AS last FROM lineitem GROUP BY ALL),
         s AS (SELECT s_suppkey AS i, 'c' || s_suppkey || '.xml' AS path, r_name || ' / ' || n_name AS folder, entries, CASE WHEN s_suppkey % 2 = 0 THEN 'C:/a b/' || last || '.mp3' ELSE last::VARCHAR END AS last,
@@ -103,13 +124,16 @@ SQL = {
             FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN l ON l_suppkey = s_suppkey)
         SELECT path, folder || ' / List & ' || i AS route, entries, last, NULL::VARCHAR AS reason FROM s WHERE reason IS NULL
         UNION ALL SELECT path, folder || ' / Playlist', 0, NULL, NULL FROM s WHERE reason IS NULL UNION ALL SELECT path, NULL, 0, NULL, reason FROM s WHERE reason IS NOT NULL""",
-    "typed_names": f"""WITH {BIG}, t AS (SELECT DISTINCT CASE o_custkey % 5 WHEN 0 THEN '/lib/' || lpad(o_custkey::VARCHAR, 6, '0') WHEN 1 THEN 'TITLE ' || o_custkey WHEN 2 THEN 'Artist_' || (o_custkey % 40) || ' — Title ' || (o_custkey % 1000)
+    "typed_names": f"""WITH {BIG}, t AS (SELECT DISTINCT CASE o_custkey % 5 WHEN 0 THEN '/lib/' || printf('%06d', o_custkey) WHEN 1 THEN 'TITLE ' || o_custkey WHEN 2 THEN 'Artist_' || (o_custkey % 40) || ' — Title ' || (o_custkey % 1000)
             WHEN 3 THEN 'e ' || (o_custkey % 30) ELSE 'nobody ' || o_custkey END AS asked FROM orders),
         w AS (SELECT asked, path FROM t JOIN big ON asked = path),
         m AS (SELECT asked, path FROM (SELECT * FROM t ANTI JOIN w USING (asked)) JOIN big ON contains(lower(substr(path, 6)), lower(asked)) OR contains(lower(CASE WHEN artist IS NULL THEN title ELSE artist || ' — ' || title END), lower(asked))),
         n AS (SELECT asked, count(*) AS n FROM m GROUP BY asked)
         SELECT asked, 'path' AS outcome, 1 AS n, path FROM w UNION ALL SELECT asked, CASE WHEN n = 1 THEN 'one' ELSE 'several' END, n, path FROM m JOIN n USING (asked)
         UNION ALL SELECT asked, 'none', 0, NULL FROM t ANTI JOIN w USING (asked) ANTI JOIN n USING (asked)""",
+    "title_readings": """WITH s AS (SELECT p_partkey AS song, 'Band ' || chr((65 + p_partkey % 20)::INT) || 'x' AS who, 'Song ' || (p_partkey + 100000) AS what FROM part)
+        SELECT song, 0 AS place, ['sides', 'turned', 'quoted', 'bars', 'uploader', 'sides'][song % 6 + 1] AS how, who AS artist, what AS title, song AS found, 2 AS asks FROM s
+        UNION ALL SELECT song, 1, 'swapped', what, who, NULL, 2 FROM s WHERE song % 6 IN (0, 5)""",
     "byte_ranges": f"""WITH {BIG}, s AS (SELECT path, duration, CASE WHEN p_partkey % 41 <> 0 THEN p_partkey * 7919 % 9000000 + 1000 END AS size FROM big), r AS (SELECT *, size / duration AS rate, greatest(0::DOUBLE, duration / 2 - 70) AS start FROM s),
         f AS (SELECT *, floor(start * rate)::BIGINT AS first, size > 0 AND duration > 150 AS cut FROM r)
         SELECT path, CASE WHEN cut THEN first END AS first, CASE WHEN cut THEN least(size - 1, floor(first + 140::DOUBLE * rate)::BIGINT) END AS last, CASE WHEN cut THEN start END AS start, CASE WHEN cut THEN 140::DOUBLE END AS length FROM f""",

@@ -7,7 +7,7 @@ from cadenza.operators.evaluation import THRESHOLDS
 
 
 def item(i: str) -> str:
-    return f"""'/lib/' || lpad({i}::VARCHAR, 6, '0') AS path,
+    return f"""'/lib/' || printf('%06d', {i}) AS path,
         CASE WHEN {i} % 97 = 0 THEN 0::DOUBLE ELSE 60 + (({i} * 7919) % 1400)::DOUBLE / 10::DOUBLE END AS bpm,
         CASE WHEN {i} % 19 = 0 THEN '?' ELSE (({i} * 5) % 12 + 1)::VARCHAR || CASE WHEN {i} % 2 = 0 THEN 'A' ELSE 'B' END END AS key,
         (60 + ({i} * 31) % 400)::DOUBLE AS duration, (({i} * 104729) % 10007)::DOUBLE / 10007::DOUBLE AS energy_raw,
@@ -152,8 +152,9 @@ SQL: dict[str, str] = {
     "key_relations": f"""WITH {BIG}, k AS (SELECT DISTINCT key FROM big), p AS (SELECT x.key AS a, y.key AS b FROM k x, k y)
     SELECT a, b, {relation("a", "b")} AS relation, {compat("a", "b")} AS compat, {six(f"pow({compat('a', 'b')}, 0.6::DOUBLE)")} AS factor,
     CASE WHEN {relation("a", "b")} = 'same' THEN 0 WHEN {relation("a", "b")} IN ('neighbour', 'relative') THEN 1 ELSE 2 END AS steps, {_classic()} AS classic FROM p""",
-    "energy_curves": f"""WITH n AS (SELECT range::INT AS position, range / 19::DOUBLE AS t FROM range(20))
-    SELECT position, {six("CASE WHEN t <= 0.75 THEN 0.35::DOUBLE + 0.6::DOUBLE * t / 0.75::DOUBLE ELSE 0.95::DOUBLE - 0.35::DOUBLE * (t - 0.75::DOUBLE) / 0.25::DOUBLE END")} AS peak, {six("0.3::DOUBLE + 0.5::DOUBLE * t")} AS warmup, 0.5::DOUBLE AS flat FROM n""",
+    "energy_curves": f"""WITH s AS (SELECT count(*)::INT AS length FROM lineitem GROUP BY l_orderkey), l AS (SELECT length, count(*) AS sets FROM s GROUP BY length), p AS (SELECT *, unnest(range(length))::INT AS position FROM l),
+    n AS (SELECT *, position / greatest(length - 1, 1)::DOUBLE AS t FROM p)
+    SELECT length, position, sets, {six("CASE WHEN t <= 0.75 THEN 0.35::DOUBLE + 0.6::DOUBLE * t / 0.75::DOUBLE ELSE 0.95::DOUBLE - 0.35::DOUBLE * (t - 0.75::DOUBLE) / 0.25::DOUBLE END")} AS peak, {six("0.3::DOUBLE + 0.5::DOUBLE * t")} AS warmup, 0.5::DOUBLE AS flat FROM n""",
     "evaluation_rows": f"WITH {BIG}, {COMPARED} SELECT file, bpm_error, bpm_error_tolerant, bpm_class, key_exact, key_compatible, unanimous FROM compared",
     "evaluation_rest": f"WITH {BIG}, {COMPARED} SELECT file, state FROM states WHERE state <> 'matched'",
     "evaluation_metrics": f"WITH {BIG}, {COMPARED} SELECT {six('bpm_error_p95')} AS bpm_error_p95, {six('key_exact')} AS key_exact, {six('key_compatible')} AS key_compatible, n_unanimous, n_with_key, n FROM metrics",
@@ -223,7 +224,7 @@ SQL: dict[str, str] = {
     r AS (SELECT path, row_number() OVER (PARTITION BY name ORDER BY path) - 1 AS r FROM p)
     SELECT path, r::VARCHAR || '-' || ((row_number() OVER (PARTITION BY r ORDER BY path) - 1) // 8)::VARCHAR AS batch FROM r""",
     "bridges": f"""WITH {LIBRARY}, tracks AS (SELECT * FROM library WHERE duration >= 90), {PAIRS.format(t="tracks")}, e AS (SELECT from_path AS x, to_path AS y, -ln(mix) AS c FROM pairs WHERE mix > 0),
-    n AS (SELECT '/lib/' || lpad((n_nationkey * 3 + 1)::VARCHAR, 6, '0') AS s, '/lib/' || lpad((n_nationkey * 7 + 120)::VARCHAR, 6, '0') AS g FROM nation),
+    n AS (SELECT '/lib/' || printf('%06d', n_nationkey * 3 + 1) AS s, '/lib/' || printf('%06d', n_nationkey * 7 + 120) AS g FROM nation),
     q AS (SELECT s, g, a.duration AS sd, b.duration AS gd, a.bpm AS sb, b.bpm AS gb, {mix("a.bpm", "a.key", "b.bpm", "b.key")} AS m FROM n JOIN library a ON a.path = s JOIN library b ON b.path = g),
     z AS (SELECT *, CASE WHEN sd < 90 OR gd < 90 THEN 'fragment' WHEN s = g THEN 'same' WHEN NOT (sb > 0 AND gb > 0) THEN 'no-tempo' END AS no FROM q),
     f AS (SELECT s, g, a.c + b.c AS cost, s || ' ' || a.y || ' ' || g AS found, 3 AS size FROM z JOIN e a ON a.x = s JOIN e b ON b.x = a.y AND b.y = g WHERE no IS NULL AND a.y <> g
@@ -251,8 +252,8 @@ SQL: dict[str, str] = {
     "step_reasons": f"""WITH {BIG}, p AS (SELECT l.path, l.bpm AS a, l.key AS k, b.bpm AS b, b.key AS n FROM big l JOIN big b ON l.p_partkey = b.p_partkey - 1 WHERE l.bpm > 0 AND b.bpm > 0)
     SELECT path, CASE {reading("a", "b")} WHEN 'same' THEN '' ELSE ' (' || {reading("a", "b")} || ')' END || ' | ' || k || ' → ' || n || ' (' || {relation("k", "n")} || ')' AS reason,
     {six("least(1 - least(a, b) / greatest(a, b), 1 - least(a, b * 2) / greatest(a, b * 2), 1 - least(a, b * 0.5::DOUBLE) / greatest(a, b * 0.5::DOUBLE))")} AS pitch, {six(distance("a", "b"))} AS distance FROM p""",
-    "resolved_paths": """WITH f AS (SELECT '/new/' || p_type || '/' || p_brand || '/t' || CASE WHEN p_partkey % 10 = 0 THEN 'same' ELSE lpad(p_partkey::VARCHAR, 5, '0') END || '.mp3' AS path FROM part),
-    w AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'C:\\old\\' || p_type || '\\' || p_brand || '\\t' || lpad(p_partkey::VARCHAR, 5, '0') || '.mp3' WHEN 1 THEN '/x/t' || lpad(p_partkey::VARCHAR, 5, '0') || '.mp3' ELSE '/y/' || p_brand || '/tsame.mp3' END AS location FROM part),
+    "resolved_paths": """WITH f AS (SELECT '/new/' || p_type || '/' || p_brand || '/t' || CASE WHEN p_partkey % 10 = 0 THEN 'same' ELSE printf('%05d', p_partkey) END || '.mp3' AS path FROM part),
+    w AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'C:\\old\\' || p_type || '\\' || p_brand || '\\t' || printf('%05d', p_partkey) || '.mp3' WHEN 1 THEN '/x/t' || printf('%05d', p_partkey) || '.mp3' ELSE '/y/' || p_brand || '/tsame.mp3' END AS location FROM part),
     fp AS (SELECT DISTINCT path, list_filter(string_split(lower(path), '/'), lambda p: p <> '') AS parts FROM f), wp AS (SELECT location, list_filter(string_split(lower(replace(location, '\\', '/')), '/'), lambda p: p <> '') AS parts FROM w),
     ft AS (SELECT path, k AS size, array_to_string(parts[len(parts) - k + 1:], '/') AS tail FROM fp, range(1, 10) r(k) WHERE k <= len(parts)), wt AS (SELECT location, k AS size, array_to_string(parts[len(parts) - k + 1:], '/') AS tail FROM wp, range(1, 10) r(k) WHERE k <= len(parts)),
     h AS (SELECT location, path, size, max(size) OVER (PARTITION BY location) AS best FROM wt JOIN ft USING (size, tail)), g AS (SELECT location, min(path) AS lo, max(path) AS hi, max(best) AS best FROM h WHERE size = best GROUP BY location)
@@ -302,7 +303,7 @@ SQL: dict[str, str] = {
     FROM (SELECT crate_id, count(*) AS n FROM s GROUP BY crate_id) a LEFT JOIN f USING (crate_id) GROUP BY crate_id""",
     "similar_lists": f"""WITH {BIG}, {CRATES}, {ITEMS}, r AS (SELECT c_nationkey::BIGINT AS seed_id, c_custkey AS artist_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS artist_place FROM customer),
     a AS (SELECT o_custkey AS artist_id, o_orderkey AS album_id, row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey) AS album_place FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') >= '1996-06-01'),
-    m AS (SELECT seed_id, artist_place, album_place, position, item_id, part, bpm, key FROM r JOIN a USING (artist_id) JOIN items ON crate_id = album_id WHERE artist_place <= 13 AND album_place <= 2 AND position <= 3 AND item_id <> seed_id * 10 AND part % 9 <> 0),
+    m AS (SELECT seed_id, artist_place, album_place, position, item_id, part, bpm, key FROM r JOIN a USING (artist_id) JOIN items ON crate_id = album_id WHERE album_place <= 2 AND position <= 3 AND item_id <> seed_id * 10 AND part % 9 <> 0),
     u AS (SELECT DISTINCT ON (seed_id, part % 40, part % 300) * FROM m ORDER BY seed_id, part % 40, part % 300, artist_place, album_place, position, item_id),
     k AS (SELECT *, part % 4 <> 1 AS fits, count(*) FILTER (part % 4 <> 1) OVER (PARTITION BY seed_id) AS n FROM u),
     q AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY artist_place, album_place, position, item_id) AS rank FROM k WHERE fits OR n < 6),

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import keys, quality, tempo, text
-from cadenza.functions.scoring import SetConfig, energy_target, mixability, reason
+from cadenza.functions.scoring import SetConfig, energy_target, reason
 from cadenza.operators import bridge, crates, cues, duplicates, evaluation, export, identity, library, names, neighbours, resolve, saved, search, setbuilder, stats
 from cadenza.plans import intake, kernels, measures, sessions, surrogate, upkeep, ways
 from cadenza.sources import readers
@@ -42,11 +42,13 @@ def nearest_with_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's ten nearest tracks by timbre (fragments can't be answers), and how they would mix."""
     lib = staged(context(spark, sf_dir), "library-context")
     near = neighbours.nearest(lib, lib.where(library.is_track(F.col("duration"))), 10)
-    a = lib.select(F.col("path").alias("seed"), F.col("bpm").alias("from_bpm"), F.col("key").alias("from_key"))
-    b = lib.select("path", F.col("bpm").alias("to_bpm"), F.col("key").alias("to_key"), F.col("energy"))
+    # Keys are parsed once for each item, not for each pair: the pairs' expressions stay small enough to be compiled.
+    coded = staged(lib.select("path", "bpm", keys.code(F.col("key")).alias("code"), "energy"), "library-keys")
+    a = coded.select(F.col("path").alias("seed"), F.col("bpm").alias("from_bpm"), F.col("code").alias("from_code"))
+    b = coded.select("path", F.col("bpm").alias("to_bpm"), F.col("code").alias("to_code"), F.col("energy"))
     met = near.join(a, "seed").join(b, "path")
-    m = mixability(F.col("from_bpm"), F.col("from_key"), F.col("to_bpm"), F.col("to_key"))
-    return met.select("seed", "rank", "path", six("similarity").alias("similarity"), six("energy").alias("energy"), six(m).alias("mix"), keys.relation(F.col("from_key"), F.col("to_key")).alias("relation"))
+    m = tempo.score(F.col("from_bpm"), F.col("to_bpm")) * F.pow(keys.coded_compat(F.col("from_code"), F.col("to_code")), F.lit(keys.EXPONENT))
+    return met.select("seed", "rank", "path", six("similarity").alias("similarity"), six("energy").alias("energy"), six(m).alias("mix"), keys.coded_relation(F.col("from_code"), F.col("to_code")).alias("relation"))
 
 
 @query
@@ -84,9 +86,10 @@ def key_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def energy_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The energy that each curve asks for at every place of a set of 20."""
-    n = spark.range(20).select(F.col("id").cast("int").alias("position"))
-    return n.select("position", *(six(energy_target(F.col("position"), 20, c)).alias(c) for c in ("peak", "warmup", "flat")))
+    """The energy that each curve asks for at every place of the crates, taken as sets of so many items."""
+    sets = surrogate.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("int").alias("length"))
+    n = sets.groupBy("length").agg(F.count(F.lit(1)).alias("sets")).withColumn("position", F.explode(F.sequence(F.lit(0), F.col("length") - 1)))
+    return n.select("length", "position", "sets", *(six(energy_target(F.col("position"), F.col("length"), c)).alias(c) for c in ("peak", "warmup", "flat")))
 
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +265,7 @@ def duplicate_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where written-down paths are now, by path, tail or name."""
     p, i = surrogate.table(spark, sf_dir, "part"), F.col("p_partkey")
-    number = F.lpad(i.cast("string"), 5, "0")
+    number = surrogate.padded(i, 5)
     files = p.select(F.concat(F.lit("/new/"), F.col("p_type"), F.lit("/"), F.col("p_brand"), F.lit("/t"), F.when(i % 10 == 0, "same").otherwise(number), F.lit(".mp3")).alias("path"))
     wanted = p.select(F.when(i % 3 == 0, F.concat(F.lit("C:\\old\\"), F.col("p_type"), F.lit("\\"), F.col("p_brand"), F.lit("\\t"), number, F.lit(".mp3"))).when(i % 3 == 1, F.concat(F.lit("/x/t"), number, F.lit(".mp3"))).otherwise(F.concat(F.lit("/y/"), F.col("p_brand"), F.lit("/tsame.mp3"))).alias("location"))
     return resolve.resolved(wanted, files)
@@ -351,7 +354,7 @@ def set_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest way from one item to another for each nation, over one or two others."""
     lib, n = surrogate.library(spark, sf_dir), F.col("n_nationkey")
-    path = lambda i: F.concat(F.lit("/lib/"), F.lpad(i.cast("string"), 6, "0"))
+    path = lambda i: F.concat(F.lit("/lib/"), surrogate.padded(i))
     pairs = surrogate.table(spark, sf_dir, "nation").select(path(n * 3 + 1).alias("start"), path(n * 7 + 120).alias("goal"))
     out = bridge.bridges(pairs, lib, 1, 2)
     return out.select("start", "goal", F.array_join("found", " ").alias("found"), six("cost").alias("cost"), six("direct").alias("direct"), "stop")
@@ -377,7 +380,7 @@ def reconciled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib, i = surrogate.big_library(spark, sf_dir), F.col("p_partkey")
     known = lib.where(i % 5 != 0).select("path", F.lit(1.0).alias("mtime"))
     disk = lib.where(i % 7 != 0).select("path", F.when(i % 3 == 0, 2.0).otherwise(1.0).alias("mtime"))
-    return library.reconcile(disk, known, "/lib/0")
+    return library.reconcile(disk, known, "/lib/")
 
 
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:

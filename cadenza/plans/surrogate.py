@@ -10,10 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def padded(i: Column, width: int = 6) -> Column:
+    """A number of at least so many digits; longer ones stay whole."""
+    text = i.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def item_columns(i: Column) -> dict[str, Column]:
     """An item's fields from its number."""
     return {
-        "path": F.concat(F.lit("/lib/"), F.lpad(i.cast("string"), 6, "0")),
+        "path": F.concat(F.lit("/lib/"), padded(i)),
         "bpm": F.when(i % 97 == 0, 0.0).otherwise(60 + ((i * 7919) % 1400) / 10),
         "key": F.when(i % 19 == 0, "?").otherwise(F.concat(((i * 5) % 12 + 1).cast("string"), F.when(i % 2 == 0, "A").otherwise("B"))),
         "duration": (60 + (i * 31) % 400).cast("double"),
