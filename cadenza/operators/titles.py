@@ -117,7 +117,7 @@ def artist_text(artist: Column) -> Column:
 
 def artist_names(artist: Column) -> Column:
     """The names of an artist field, as they are written."""
-    return F.filter(F.transform(F.split(artist_text(artist), _I + ARTIST_SEPARATOR), F.trim), lambda n: n != "")
+    return F.filter(F.transform(F.split(artist_text(artist), _I + ARTIST_SEPARATOR), lambda n: F.trim(n)), lambda n: n != "")
 
 
 def other_titles(title: Column) -> Column:
