@@ -314,11 +314,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their class: one of each class.
 
-    Texts without words are classes of their own; equal rows of these all stay.
+    Texts without words are classes of their own; equal rows of these all stay. Columns may have any names.
     """
-    heads = join(docs, threshold).where("is_head").select(F.col("doc_id").alias("_head"), F.col("part").alias("_head_part")).distinct()
-    part = F.xxhash64(F.coalesce("text", F.lit("")))
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_head")) & (part == F.col("_head_part"))
-    same = W.partitionBy("_head", "_head_part").orderBy(F.lit(1))
-    kept = docs.join(heads, key).withColumn("_nth", F.row_number().over(same))
-    return kept.where((F.col("_nth") == 1) | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    heads = join(docs, threshold).where("is_head").select(F.col("doc_id").alias("head"), F.col("part").alias("head_part")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    # Rows travel as one value, so their names meet no others.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("part"), text.rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    kept = rows.join(heads, F.col("id").eqNullSafe(F.col("head")) & (F.col("part") == F.col("head_part")))
+    kept = kept.withColumn("nth", F.row_number().over(W.partitionBy("head", "head_part").orderBy(F.lit(1))))
+    return kept.where((F.col("nth") == 1) | ~F.col("worded")).select("row.*")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import words
+from cadenza.llm.common import one_text, words
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_marks")
@@ -165,12 +165,12 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, min_precision: float = 0.9,
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Rules from the ``sample`` labelled documents of lowest hash (all, if fewer), in an order that doesn't depend on partitions."""
+    """Rules from the ``sample`` labelled documents of lowest hash (all, if fewer; of an id one), in an order that doesn't depend on partitions."""
     order = (F.xxhash64("doc_id").asc(), F.col("doc_id").asc())
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(*order).limit(sample).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     # At most ``sample`` rows of two numbers: small enough to send to every executor.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    texts = one_text(docs, chosen)
     rows = statistics(texts.select("doc_id", "label", "text"), ["doc_id", "label"]).select("doc_id", "label", *(f"stats.{k}" for k in RATIOS)).toPandas()
     if rows.empty:
         return []

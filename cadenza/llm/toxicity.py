@@ -22,7 +22,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import staged, words
+from cadenza.llm.common import one_text, staged, words
 
 #: At most so many labelled rows are learned from.
 SAMPLE = 20_000
@@ -164,11 +164,11 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, of: str, learning, sample: int) -> DataFrame:
-    """doc_id, text, label: the ``sample`` labelled documents of lowest hash for which ``learning`` holds."""
+    """doc_id, text, label: the ``sample`` labelled documents of lowest hash for which ``learning`` holds; of an id one."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(of).isin(0, 1) & learning).groupBy(F.col("doc_id").alias("id")).agg(F.max(of).cast("long").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     # At most ``sample`` rows of two numbers: small enough to send to every executor.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label")
+    return one_text(docs, chosen)
 
 
 def classify(docs: DataFrame, labels: DataFrame, learning, sample: int = SAMPLE) -> DataFrame:

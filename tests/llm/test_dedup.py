@@ -186,3 +186,10 @@ def test_pruning_keeps_what_may_reach_the_threshold():
     c = shingles.shingle_set(shingles.word_hashes(" ".join(f"v{k}" for k in range(400)), known))
     m = [ngram_join.minhash(x)[None, :] for x in (a, b, c)]
     assert ngram_join.likely(m[0], m[1])[0] and not ngram_join.likely(m[0], m[2])[0]
+
+
+def test_representatives_with_any_names(spark, messy):
+    named = messy.selectExpr("doc_id", "text", "1 AS _head", "2 AS _head_part", "3 AS _nth", "4 AS head", "5 AS row", "6 AS id", "7 AS part", "8 AS nth", "9 AS worded")
+    got = ngram_join.representatives(named)
+    assert got.columns == named.columns and got.count() == ngram_join.representatives(messy.select("doc_id", "text")).count()
+    assert {tuple(r)[2:] for r in got.collect()} == {(1, 2, 3, 4, 5, 6, 7, 8, 9)}

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cadenza.llm import bpe, chat, mixing, quality_model, quality_rules, queries, topk, toxicity
-from cadenza.llm.common import crc_mod
+from cadenza.llm.common import crc_mod, one_text
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -326,3 +326,16 @@ def test_convolution_by_plain_loops():
     net = quality_model.Network(tables, np.zeros(48), np.ones(48), draw.normal(size=48) / 50, 0.1)
     z = sum(a * b for a, b in zip(np.concatenate([p.mean(0), p.min(0), p.max(0)]), net.weights, strict=True)) + 0.1
     assert math.isclose(quality_model.probability(net, text), 1 / (1 + math.exp(-z)), rel_tol=1e-3)
+
+
+def test_one_row_of_a_labelled_id_is_learned_from(spark):
+    """However many rows bear a chosen id, one text of it goes on: that of least hash."""
+    rows = [(1, f"text {i} " * 30) for i in range(3_000)] + [(2, "two"), (2, None), (None, "none"), (3, "not chosen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    chosen = spark.createDataFrame([(1, 1), (2, 0)], "id long, label int")
+    got = {r.doc_id: (r.text, r.label) for r in one_text(docs, chosen).collect()}
+    hashed = docs.where("doc_id = 1").orderBy(F.xxhash64("text")).first().text
+    assert got[1] == (hashed, 1) and set(got) == {1, 2} and one_text(docs, chosen).count() == 2
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.labelled(docs, labels, "toxic", F.lit(True), 1).count() == 1
+    assert quality_rules.judged(docs, labels, ["doc_id"], sample=1).count() == len(rows)
