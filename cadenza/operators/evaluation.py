@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import keys, tempo
 from cadenza.functions.text import basename
 from cadenza.operators.stats import pearson
+from cadenza.sources.staging import staged
 
 #: metric, operator, limit of the contract; fixed values.
 THRESHOLDS = (
@@ -114,6 +115,19 @@ def verdicts(metrics: DataFrame) -> DataFrame:
     return limits.join(metrics, "metric", "left").select("metric", "op", "bound", value.alias("value"), ok.alias("ok"))
 
 
+def doubt_groups(measured: DataFrame, compared_: DataFrame, name: Column) -> DataFrame:
+    """agreement, doubtful, n, n_ref, exact, compatible (percent of those with a reference): all of ``measured`` by agreement, with a reference or not.
+
+    ``name`` is what ``compared_``'s file is called in ``measured``. A group without references has no percentages.
+    """
+    # Written, so that the comparison and the groups are compiled apart.
+    known = staged(compared_.select("file", "key_exact", "key_compatible"), "doubt-compared")
+    met = measured.select(name.alias("file"), F.col("agreement").alias("of")).join(known, "file", "left")
+    percent = lambda c: F.avg(F.when(F.col("key_exact").isNotNull(), F.when(F.col(c), 100.0).otherwise(0.0)))
+    by = met.groupBy(F.coalesce("of", F.lit("none")).alias("agreement"), keys.doubtful(F.col("of")).alias("doubtful"))
+    return by.agg(F.count(F.lit(1)).alias("n"), F.count("key_exact").alias("n_ref"), percent("key_exact").alias("exact"), percent("key_compatible").alias("compatible"))
+
+
 def overall(rows: DataFrame) -> DataFrame:
     """1 if any threshold fails, 2 if any isn't measured, else 0."""
     return rows.agg(F.when(F.bool_or(~F.col("ok")), 1).when(F.count_if(F.col("ok").isNull()) > 0, 2).otherwise(0).alias("verdict"))

@@ -36,6 +36,18 @@ def contextual(df: DataFrame) -> DataFrame:
     return met.withColumn("timbre", timbre).drop("_z", "_norm", "stats")
 
 
+def standardised(vectors: DataFrame, stats: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Adds timbre to ``vectors`` by the stored statistics of a library (``dimension_stats``), as ``contextual`` gave it to the library's own items.
+
+    A dimension without spread is divided by 1; a vector without length stays 0. The statistics are one row for each dimension.
+    """
+    one = stats.agg(F.array_sort(F.collect_list(F.struct("place", "mean", "spread"))).alias("_stats"))
+    met = vectors.join(F.broadcast(one))
+    z = F.zip_with(vector, "_stats", lambda x, s: (x.cast("double") - s.mean) / F.when(s.spread > 0, s.spread).otherwise(1.0))
+    met = met.withColumn("_z", z).withColumn("_norm", F.sqrt(F.aggregate("_z", F.lit(0.0), lambda t, x: t + x * x)))
+    return met.withColumn("timbre", F.when(F.col("_norm") > 0, F.transform("_z", lambda x: x / F.col("_norm"))).otherwise(F.col("_z"))).drop("_z", "_norm", "_stats")
+
+
 def restricted(context: DataFrame, wanted: DataFrame) -> DataFrame:
     """Items of a contextual library by path; the context stays that of all."""
     return context.join(wanted.select("path"), "path", "left_semi")

@@ -34,6 +34,13 @@ def diverse(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("_nth", each).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("_nth")
 
 
+def by_genre(rows: DataFrame, wanted: Column) -> DataFrame:
+    """Rows (genre, title) that go with a genre, and likeness: 1 if one genre's name holds the other's (none is held by any), 0.7 if the title names it."""
+    genre, asked = F.lower(F.coalesce("genre", F.lit(""))), F.lower(wanted)
+    likeness = F.when(F.contains(genre, asked) | F.contains(asked, genre), 1.0).when(F.contains(F.lower(F.coalesce("title", F.lit(""))), asked), 0.7)
+    return rows.withColumn("likeness", likeness).where("likeness IS NOT NULL")
+
+
 def interleaved(rows: DataFrame, sources: list[str], limit: int) -> DataFrame:
     """The first of each source in this order, then the second of each, up to ``limit``; each source gives at most max(4, limit // 4)."""
     place = F.array_position(F.array(*map(F.lit, sources)), F.col("source"))

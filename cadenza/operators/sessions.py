@@ -16,8 +16,11 @@ def merged_agreement(first: DataFrame, second: DataFrame) -> DataFrame:
     """Rows of ``first`` (path, ...) with agreement and votes of ``second``'s row of the same path, and outcome.
 
     The outcome is merged; repeated, if ``second`` has the path several times, as nobody knows which row
-    is the file's; or unpaired. Only merged rows have an agreement. Paths are compared as they are.
+    is the file's; or unpaired. Only merged rows have an agreement. Paths are compared without white space at their ends.
+    Raises ValueError if no row of ``second`` has an agreement: it is no pass by consensus.
     """
+    if second.where(F.trim(F.coalesce("agreement", F.lit(""))) != "").isEmpty():
+        raise ValueError("the second pass has no agreement in any row")
     path = F.trim("path")
     pairs = second.groupBy(path.alias("of")).agg(F.count(F.lit(1)).alias("times"), F.any_value("agreement").alias("agreement"), F.any_value("votes").alias("votes"))
     met = first.drop("agreement", "votes").join(pairs, path == F.col("of"), "left")

@@ -36,7 +36,13 @@ SQL: dict[str, str] = {
     count(*) FILTER (NOT known) AS unknown FROM x GROUP BY node""",
     "merged_agreement": f"""WITH {BIG} SELECT path, key, CASE WHEN p_partkey % 10 <> 0 AND p_partkey % 9 <> 0 THEN agreement END AS agreement,
     CASE WHEN p_partkey % 10 = 0 THEN 'unpaired' WHEN p_partkey % 9 = 0 THEN 'repeated' ELSE 'merged' END AS outcome FROM big""",
-    "selection_funnel": f"WITH {BIG}, {COMPARED}, {_STAGES} SELECT stage, count(*) AS n FROM staged GROUP BY stage",
+    "selection_funnel": f"""WITH {BIG}, {COMPARED}, {_STAGES} SELECT stage, count(*) AS n FROM staged GROUP BY stage
+    UNION ALL SELECT CASE state WHEN 'ambiguous' THEN 'ambiguous' ELSE 'without-truth' END, count(*) FROM states WHERE state IN ('ambiguous', 'only-measured') GROUP BY ALL""",
+    "doubt_study": f"""WITH {BIG}, {COMPARED} SELECT coalesce(m.agreement, 'none') AS agreement, NOT coalesce(any_value(split_part(m.agreement, '/', 1) = split_part(m.agreement, '/', 2)), false) AS doubtful, count(*) AS n, count(key_exact) AS n_ref,
+    round(100 * avg(key_exact::INT), 6) AS exact, round(100 * avg(CASE WHEN key_exact IS NOT NULL THEN key_compatible::INT END), 6) AS compatible FROM measured m LEFT JOIN compared USING (file) GROUP BY ALL""",
+    "genre_matches": f"""WITH {BIG}, {CRATES}, a AS (SELECT *, ['genre 1', 'GENRE', 'title 1', 'jazz'][crate_id % 4 + 1] AS asked FROM crates),
+    l AS (SELECT asked, CASE WHEN genre IS NULL OR contains(lower(genre), lower(asked)) OR contains(lower(asked), lower(genre)) THEN 1::DOUBLE WHEN contains(title, lower(asked)) THEN 0.7::DOUBLE END AS likeness FROM a)
+    SELECT asked, likeness, count(*) AS n FROM l WHERE likeness IS NOT NULL GROUP BY ALL""",
     "listening_sample": f"""WITH {BIG}, {COMPARED}, {_STAGES}, c AS (SELECT '/lib/' || file AS measured_path, key_est, key_ref FROM staged WHERE stage = 'candidate')
     SELECT measured_path, key_est, key_ref, {_mode("key_est", "key_ref")} AS mode_error FROM c ORDER BY md5('7:' || measured_path), measured_path LIMIT 40""",
     "mode_errors": f"WITH {BIG}, k AS (SELECT DISTINCT key FROM big) SELECT a.key, b.key AS other, {_name('a.key')} AS name FROM k a JOIN k b ON a.key <> b.key WHERE {_mode('a.key', 'b.key')}",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import keys, rules
-from cadenza.operators import audits, evaluation, export, sessions, station, trees
+from cadenza.operators import audits, evaluation, export, search, sessions, station, trees
 from cadenza.plans import surrogate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,8 +59,29 @@ def _funnelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def selection_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many matched files stay at each step."""
-    return _funnelled(spark, sf_dir).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    """How many matched files stay at each step, and how many names weren't matched, as they are ambiguous or have no truth."""
+    measured = surrogate.measured(spark, sf_dir).withColumnRenamed("path", "measured_path")
+    _, rest = evaluation.match_files(measured, surrogate.truth(spark, sf_dir), "measured_path", "location")
+    stage = F.when(F.col("state") == "ambiguous", "ambiguous").when(F.col("state") == "only-measured", "without-truth")
+    left = rest.select(stage.alias("stage")).where("stage IS NOT NULL")
+    return _funnelled(spark, sf_dir).select("stage").unionByName(left).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def doubt_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measured files by agreement, whether their key is in doubt, and how right they are where there is a reference."""
+    measured, truth = surrogate.measured(spark, sf_dir), surrogate.truth(spark, sf_dir)
+    pairs, _ = evaluation.match_files(measured.withColumnRenamed("path", "measured_path"), truth, "measured_path", "location")
+    out = evaluation.doubt_groups(measured, evaluation.compared(pairs), F.lower(F.regexp_extract("path", r"([^/]*)$", 1)))
+    return out.select("agreement", "doubtful", "n", "n_ref", F.round("exact", 6).alias("exact"), F.round("compatible", 6).alias("compatible"))
+
+
+@query
+def genre_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """how many lines go with a genre that their order asks for, by genre or by title."""
+    asked = F.element_at(F.array(*map(F.lit, ("genre 1", "GENRE", "title 1", "jazz"))), (F.col("crate_id") % 4 + 1).cast("int"))
+    rows = surrogate.crate_items(spark, sf_dir).withColumn("asked", asked)
+    return search.by_genre(rows, F.col("asked")).groupBy("asked", "likeness").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -72,7 +93,7 @@ def listening_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of keys in use that share a tonic but not a mode."""
+    """Pairs of keys in use that share a tonic but not a mode."""
     k = surrogate.big_library(spark, sf_dir).select("key").distinct()
     pairs = k.join(F.broadcast(k.withColumnRenamed("key", "other")), F.col("key") != F.col("other"))  # 25 keys
     return pairs.where(sessions.mode_error(F.col("key"), F.col("other"))).select("key", "other", keys.classic(F.col("key")).alias("name"))
