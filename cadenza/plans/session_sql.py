@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.plans.oracle import BIG, COMPARED, CRATES, LIBRARY, MARKS, _classic, number, six
+from cadenza.plans.oracle import BIG, COMPARED, CONTEXT, CRATES, LIBRARY, MARKS, _classic, number, six
 
 _CLASSIC = _classic()
 _JOBS = """items AS (SELECT *, part % 4 AS mtime FROM crates),
@@ -40,6 +40,10 @@ SQL: dict[str, str] = {
     UNION ALL SELECT CASE state WHEN 'ambiguous' THEN 'ambiguous' ELSE 'without-truth' END, count(*) FROM states WHERE state IN ('ambiguous', 'only-measured') GROUP BY ALL""",
     "doubt_study": f"""WITH {BIG}, {COMPARED} SELECT coalesce(m.agreement, 'none') AS agreement, NOT coalesce(any_value(split_part(m.agreement, '/', 1) = split_part(m.agreement, '/', 2)), false) AS doubtful, count(*) AS n, count(key_exact) AS n_ref,
     round(100 * avg(key_exact::INT), 6) AS exact, round(100 * avg(CASE WHEN key_exact IS NOT NULL THEN key_compatible::INT END), 6) AS compatible FROM measured m LEFT JOIN compared USING (file) GROUP BY ALL""",
+    "stored_standards": f"""WITH {LIBRARY}, {CONTEXT} SELECT path, {six("v[1]")} AS v0, {six("v[32]")} AS v31, {six("v[64]")} AS v63 FROM unit""",
+    "long_editions": """WITH s AS (SELECT p_partkey AS part, 'Song ' || p_partkey AS song, p_partkey % 3 AS w, p_partkey // 3 % 4 AS c FROM part)
+    SELECT part, song || ['', ' (Radio Edit)', ' (Omnya Remix)'][w + 1] AS w_title, song || [' (Extended Mix)', ' (Omnya Remix Extended)', ' (Original Mix)', ''][c + 1] AS c_title,
+        part % 7 <> 0 AND CASE w WHEN 2 THEN c = 1 ELSE c IN (0, 2) END AS extended FROM s""",
     "genre_matches": f"""WITH {BIG}, {CRATES}, a AS (SELECT *, ['genre 1', 'GENRE', 'title 1', 'jazz'][crate_id % 4 + 1] AS asked FROM crates),
     l AS (SELECT asked, CASE WHEN genre IS NULL OR contains(lower(genre), lower(asked)) OR contains(lower(asked), lower(genre)) THEN 1::DOUBLE WHEN contains(title, lower(asked)) THEN 0.7::DOUBLE END AS likeness FROM a)
     SELECT asked, likeness, count(*) AS n FROM l WHERE likeness IS NOT NULL GROUP BY ALL""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import keys, rules
-from cadenza.operators import audits, evaluation, export, search, sessions, station, trees
+from cadenza.operators import audits, evaluation, export, identity, library, search, sessions, station, trees
 from cadenza.plans import surrogate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,26 @@ def doubt_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("agreement", "doubtful", "n", "n_ref", F.round("exact", 6).alias("exact"), F.round("compatible", 6).alias("compatible"))
 
 
+@query
+def stored_standards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2, A1: each vector by the library's stored statistics, as the library itself has it."""
+    lib = surrogate.library(spark, sf_dir)
+    rows = library.standardised(lib.select("path", "embedding"), library.dimension_stats(lib))
+    six = lambda c: F.round(c, 6) + F.lit(0.0)
+    return rows.select("path", *(six(F.get("timbre", F.lit(i))).alias(f"v{i}") for i in (0, 31, 63)))
+
+
+@query
+def long_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """whether a part's upload says that it is the long edition of the part's song: plain, radio edits and remixes against four labels."""
+    p, i = surrogate.table(spark, sf_dir, "part"), F.col("p_partkey")
+    pick = lambda k, *texts: F.element_at(F.array(*map(F.lit, texts)), (k + 1).cast("int"))
+    wanted = F.concat(F.lit("Song "), i.cast("string"), pick(i % 3, "", " (Radio Edit)", " (Omnya Remix)"))
+    found = F.concat(F.lit("Song "), i.cast("string"), pick(F.floor(i / 3) % 4, " (Extended Mix)", " (Omnya Remix Extended)", " (Original Mix)", ""))
+    rows = p.select(i.alias("part"), F.col("p_brand").alias("w_artist"), wanted.alias("w_title"), F.when(i % 7 == 0, "Someone Else").otherwise(F.col("p_brand")).alias("c_artist"), found.alias("c_title"))
+    return identity.extended_of(identity.identified(identity.identified(rows, "w_"), "c_")).select("part", "w_title", "c_title", "extended")
+
+
 @query
 def genre_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """how many lines go with a genre that their order asks for, by genre or by title."""
