@@ -7,6 +7,7 @@ import shutil
 import duckdb
 import pytest
 
+from cadenza.operators import resolve, station
 from cadenza.plans import queries, session_sql
 
 
@@ -36,3 +37,26 @@ def wanted(folder, name):
 def test_artist_repeats_by_line_then_part(spark, large):
     got = queries.QUERIES["artist_repeats"](spark, large)
     assert sorted(tuple(r[c] for c in sorted(got.columns)) for r in got.collect()) == wanted(large, "artist_repeats")
+
+
+def test_station_tracks_of_one_place_have_an_order(spark):
+    """Line 1 of part 1,000,050 and line 2 of part 50 have one place."""
+    rows = [("s", 2_000_050, t, "0") for t in ("1000050", "50", "7")]
+    for given in (rows, rows[::-1]):
+        got = station.others(spark.createDataFrame(given, "station string, place long, track_id string, seed string").coalesce(1), "station", "track_id", "place", "seed")
+        assert [(r.place, r.track_id) for r in got.orderBy("place").collect()] == [(1, "1000050"), (2, "50"), (3, "7")]
+
+
+def test_typed_names_meet_few_items(spark):
+    """Texts longer than a gram of three letters: what they meet grows with what they mean."""
+    library = spark.createDataFrame([(f"/lib/{i:06d}", f"Artist_{i % 40}", f"Title {i}") for i in range(100_000, 102_000)], "path string, artist string, title string")
+    asked = [f"TITLE {i}" for i in range(100_000, 102_000, 2)] + ["artist_7 — title 100847", "e 1000", "40 — Title 1", "9", "2_", "t_1 ", "title 10184", "nobody 5"]
+    got = resolve.typed(spark.createDataFrame([(a,) for a in asked], "asked string"), library).collect()
+    items = [(r.path, r.path[5:], f"{r.artist} — {r.title}".lower()) for r in library.collect()]
+    want = set()
+    for a in asked:
+        hits = [p for p, name, label in items if a.lower() in name or a.lower() in label]
+        want |= {(a, "one" if len(hits) == 1 else "several", len(hits), p) for p in hits} or {(a, "none", 0, None)}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    met = resolve.met(spark.createDataFrame([(a.lower(),) for a in asked[:1000]], "text string"), library.selectExpr("path", "substr(path, 6) AS name", "lower(concat_ws(' — ', artist, title)) AS label"))
+    assert met.count() <= 2 * 1000
