@@ -37,9 +37,9 @@ def tracks(records: DataFrame, record: str = "record") -> DataFrame:
 
 
 def others(rows: DataFrame, station: str, track: str, place: str, seed: str) -> DataFrame:
-    """A station's rows without its seed and without repeats, the first one stays, numbered again in order."""
+    """A station's rows without its seed and without repeats, the first one stays, numbered again in order; of one place the smaller track is first."""
     first = rows.where(F.col(track) != F.col(seed)).withColumn("nth", F.row_number().over(W.partitionBy(station, track).orderBy(place))).where("nth = 1").drop("nth")
-    return first.withColumn(place, F.row_number().over(W.partitionBy(station).orderBy(place)))
+    return first.withColumn(place, F.row_number().over(W.partitionBy(station).orderBy(place, track)))
 
 
 def pooled(*pools: DataFrame, key: str = "track_id") -> DataFrame:
