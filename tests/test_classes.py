@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadenza.operators import identity, neighbours
+from cadenza.operators import bridge, identity, neighbours
 
 
 def test_degree_is_that_of_all_pairs(spark, monkeypatch):
@@ -34,3 +34,13 @@ def test_matched_is_all_pairs_arbitrated(spark):
     want = sorted(map(str, want.select(*columns).collect()))
     assert sorted(map(str, identity.matched(known).select(*columns).collect())) == want
     assert len({x.split("outcome=")[1] for x in want}) >= 3
+
+
+def test_bridges_over_equal_items_take_the_least(spark):
+    """Many items of one tempo and key: only as many are tried as a bridge can use, those of least path."""
+    rows = [("S", 120.0, "8A", 300.0), ("G", 128.0, "9A", 300.0), ("a0", 124.0, "8A", 30.0)] + [(f"a{i:02d}", 124.0, "8A", 300.0) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "path string, bpm double, key string, duration double")
+    assert bridge.stand_ins(df.where("duration >= 90"), 4).where("path LIKE 'a%'").count() == 4
+    pairs = spark.createDataFrame([("S", "G")], "start string, goal string")
+    assert bridge.bridges(pairs, df, 1, 2).first().found == ["S", "a01", "G"]
+    assert bridge.bridges(pairs, df, 2, 2).first().found == ["S", "a01", "a02", "G"]
