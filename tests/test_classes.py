@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from cadenza.operators import bridge, identity, neighbours
+from cadenza.functions.scoring import SetConfig
+from cadenza.operators import bridge, identity, neighbours, setbuilder
 
 
 def test_degree_is_that_of_all_pairs(spark, monkeypatch):
@@ -44,3 +47,20 @@ def test_bridges_over_equal_items_take_the_least(spark):
     pairs = spark.createDataFrame([("S", "G")], "start string, goal string")
     assert bridge.bridges(pairs, df, 1, 2).first().found == ["S", "a01", "G"]
     assert bridge.bridges(pairs, df, 2, 2).first().found == ["S", "a01", "a02", "G"]
+
+
+def test_a_set_looks_at_few_items_and_takes_the_best(monkeypatch):
+    """Every look at ranges of tempo gives the set that a look at all tracks gives."""
+    rng = np.random.default_rng(3)
+    n = 600
+    v = rng.normal(size=(n, 8))
+    rows = pd.DataFrame({"path": [f"/m/{i:04}" for i in range(n)], "bpm": rng.integers(120, 400, n) / 2.0, "key": [f"{i % 12 + 1}{'AB'[i % 2]}" if i % 19 else "?" for i in range(n)], "energy": rng.random(n), "artist": [f"a{i % 40}" for i in range(n)], "track": rng.random(n) < 0.9})
+    rows["timbre"] = list(v / np.linalg.norm(v, axis=1, keepdims=True))
+    rows.loc[::97, "bpm"] = 0.0
+    shelf, looks = setbuilder.Shelf(rows), []
+    near = setbuilder.Shelf.near
+    monkeypatch.setattr(setbuilder.Shelf, "near", lambda self, at, least: looks.append(len(got := near(self, at, least))) or got)
+    few = [setbuilder.one_set(shelf, s, SetConfig()) for s in range(0, n, 12)]
+    assert np.mean(looks) < n / 8
+    monkeypatch.setattr(setbuilder, "FIRST_LOOK", 0.0)
+    assert [[r[2] for r in s] for s in few] == [[r[2] for r in setbuilder.one_set(shelf, s, SetConfig())] for s in range(0, n, 12)]
