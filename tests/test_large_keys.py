@@ -5,9 +5,10 @@ from __future__ import annotations
 import shutil
 
 import duckdb
+import pandas as pd
 import pytest
 
-from cadenza.operators import resolve, station
+from cadenza.operators import export, resolve, station
 from cadenza.plans import queries, session_sql
 
 
@@ -60,3 +61,18 @@ def test_typed_names_meet_few_items(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     met = resolve.met(spark.createDataFrame([(a.lower(),) for a in asked[:1000]], "text string"), library.selectExpr("path", "substr(path, 6) AS name", "lower(concat_ws(' — ', artist, title)) AS label"))
     assert met.count() <= 2 * 1000
+
+
+def test_collections_with_repeats_ties_and_bare_tracks(spark):
+    rows = [(1, 1, "/b"), (1, 0, "/a"), (1, 2, "/b"), (1, 3, None), (2, 0, "/c"), (3, 0, None)]
+    items = spark.createDataFrame([(*r, r[2], None, 120.0, "8A", 200.0) for r in rows], "crate_id long, position int, path string, title string, artist string, bpm double, key string, duration double")
+    # Two loops of one start: by their ends as numbers, not as text.
+    marks = spark.createDataFrame([("/b", "loop", None, 5, 10_000), ("/b", "loop", None, 5, 9_000), ("/b", "cue", 1, 1, None)], "path string, kind string, num int, start_ms long, end_ms long")
+    got = {r.crate_id: r.xml for r in export.collections(items, marks).collect()}
+    assert got.keys() == {1, 2}
+    assert '<COLLECTION Entries="2"><TRACK TrackID="2" Name="/a"' in got[1] and '<NODE Name="1" Type="1" KeyType="0" Entries="3"><TRACK Key="2"/><TRACK Key="3"/><TRACK Key="3"/>' in got[1]
+    assert got[1].index('Num="1" Start="0.001"') < got[1].index('End="9.000"') < got[1].index('End="10.000"') and "POSITION_MARK" not in got[2]
+    # Marks travel deflated.
+    text = "".join(f'<POSITION_MARK Type="0" Num="-1" Start="{i * 7.123:.3f}"/>' for i in range(30))
+    packed = export._packed(pd.Series([text, None]))
+    assert export._unpacked(packed[0]) == text and packed[1] is None and len(packed[0]) < len(text) / 4
