@@ -64,3 +64,12 @@ def test_a_set_looks_at_few_items_and_takes_the_best(monkeypatch):
     assert np.mean(looks) < n / 8
     monkeypatch.setattr(setbuilder, "FIRST_LOOK", 0.0)
     assert [[r[2] for r in s] for s in few] == [[r[2] for r in setbuilder.one_set(shelf, s, SetConfig())] for s in range(0, n, 12)]
+
+
+def test_explained_pairs_of_classes_are_those_of_items(spark):
+    rows = [(f"/{i % 70}", [120.0, 121.5, 62.0, 0.0, 124.0][i % 5], ["8A", "9A", "?", " 08a"][i % 4]) for i in range(75)]
+    lib = spark.createDataFrame(rows, "path string, bpm double, key string")
+    columns = ["from_path", "to_path", "mix", "delta_percent", "reading", "relation", "compat"]
+    want = neighbours.explained(neighbours.mixable_pairs(lib, lib)).select(*columns)
+    got = neighbours.mixable_explained(lib).select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
