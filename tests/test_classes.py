@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cadenza.functions.scoring import SetConfig
-from cadenza.operators import bridge, identity, neighbours, setbuilder
+from cadenza.operators import bridge, duplicates, identity, neighbours, setbuilder
 
 
 def test_degree_is_that_of_all_pairs(spark, monkeypatch):
@@ -73,3 +73,16 @@ def test_explained_pairs_of_classes_are_those_of_items(spark):
     want = neighbours.explained(neighbours.mixable_pairs(lib, lib)).select(*columns)
     got = neighbours.mixable_explained(lib).select(*columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_duplicates_in_blocks_are_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"/{i % 115:03}", float(rng.integers(80, 130)), rng.normal(size=4 if i % 9 else 5).tolist()) for i in range(120)] + [("/x", 90.0, [1.0] * 4), ("/y", 0.0, [1.0, 2.0, 3.0, 4.0])]
+    lib = spark.createDataFrame(rows, "path string, duration double, print array<double>")
+    monkeypatch.setattr(duplicates, "BLOCK", 10)
+    monkeypatch.setattr(duplicates, "AT_ONCE", 2)
+    got = sorted((r.a, r.b, round(r.similarity, 9)) for r in duplicates.pairs(lib, 0.5).collect())
+    agree = lambda x, y: min(x, y) > 0 and abs(x - y) <= max(2.0, min(x, y) * 0.02)
+    known = [r for r in rows if np.std(r[2]) > 0]
+    met = [(a[0], b[0], float(np.corrcoef(a[2], b[2])[0, 1])) for a in known for b in known if a[0] < b[0] and len(a[2]) == len(b[2]) and agree(a[1], b[1])]
+    assert got == sorted((a, b, round(c, 9)) for a, b, c in met if c >= 0.5) and len(got) > 20
