@@ -6,7 +6,8 @@ from pathlib import Path
 
 import numpy as np
 
-from cadenza.operators import duplicates
+from cadenza.functions import grids
+from cadenza.operators import duplicates, neighbours
 from cadenza.sources.staging import shared_dir
 
 
@@ -24,3 +25,39 @@ def test_prints_on_other_grids_store_no_pairs(spark, monkeypatch):
     got = {(r.a, r.b): r.regridded for r in duplicates.regridded_pairs(audio, rate, low=2.0, high=100.0).collect()}
     assert got == {(f"a{i:02}", f"b{i:02}"): True for i in range(30)}
     assert max(spark.read.parquet(str(p)).count() for p in set(folder.iterdir()) - before) <= 3 * len(rows)
+
+
+def test_bins_of_curves_are_in_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, 0.1, 1.0, 0.5, 2.0)], "key long, t double, w double, period double, beats double")
+    plan = grids.phase_curves(rows, "key", 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_bands_are_sorted_once(spark):
+    rows = spark.createDataFrame([([[1.0, 0.5], [0.2, 0.1]],)], "bands array<array<double>>")
+    plan = rows.select(grids.normalised(rows.bands).alias("q"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("sort_array(") + plan.count("array_sort(") == 1
+
+
+def test_tops_are_those_of_curves():
+    draw = np.random.default_rng(4)
+    t, w, bpms = np.sort(draw.uniform(0, 12, 200)), draw.uniform(0, 1, 200), np.arange(119.5, 120.5, 0.01)
+    height, top, bins = grids._tops(t, w, 60 / bpms, 12 * bpms / 60, 100)
+    for i, bpm in enumerate(bpms):
+        curve = grids.phase_curve(t, w, 60 / bpm, 12 * bpm / 60, 100)
+        assert (height[i], top[i], bins[i]) == (curve.max(), curve.argmax(), len(curve))
+
+
+def test_vectors_are_copied_a_bounded_number_of_times(spark, monkeypatch):
+    """20 copies of a row at 600,000 and 7 a side below; blocks of few give the same, also of many equal vectors."""
+    for name, value in (("SMALL_BLOCK", 10), ("SAMPLE", 12), ("AT_ONCE", 50)):
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    draw = np.random.default_rng(6)
+    x = np.concatenate([np.repeat(draw.normal(size=(4, 64)), 15, axis=0), draw.normal(size=(20, 64))])
+    lib = spark.createDataFrame([(f"p{i:03}", v.tolist()) for i, v in enumerate(x)] + [("nan", [float("nan")] * 64)], "path string, timbre array<double>")
+    got = sorted((r.seed, r["rank"], r.path) for r in neighbours.nearest(lib, lib, 5).collect())
+    score = (x[:, None, :] * x[None, :, :]).sum(axis=2)
+    best = [[j for j in np.lexsort((np.arange(80), -score[i])) if j != i][:5] for i in range(80)]
+    assert got == [(f"p{i:03}", k + 1, f"p{j:03}") for i in range(80) for k, j in enumerate(best[i])]
+    monkeypatch.undo()
+    assert neighbours.blocks(100_000) == neighbours.blocks(10_000) and 2 * neighbours.blocks(600_000) <= 20
