@@ -5,9 +5,11 @@ from __future__ import annotations
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cadenza.functions import grids
-from cadenza.operators import duplicates, neighbours
+from cadenza.operators import crates, duplicates, edits, neighbours, review
+from cadenza.plans import upkeep
 from cadenza.sources.staging import shared_dir
 
 
@@ -61,3 +63,31 @@ def test_vectors_are_copied_a_bounded_number_of_times(spark, monkeypatch):
     assert got == [(f"p{i:03}", k + 1, f"p{j:03}") for i in range(80) for k, j in enumerate(best[i])]
     monkeypatch.undo()
     assert neighbours.blocks(100_000) == neighbours.blocks(10_000) and 2 * neighbours.blocks(600_000) <= 20
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_additions_are_shuffled_once(spark):
+    items = spark.createDataFrame([(1, 1, 1, "/a", "x"), (1, 2, 2, None, "y"), (None, 3, 1, "/n", "n")], "crate_id long, item_id long, position int, path string, name_id string")
+    new = spark.createDataFrame([(1, 1, "/A", "q"), (1, 2, "/B", "y"), (1, 3, None, None), (1, 4, "/b", None), (None, 5, "/N", "n")], "crate_id long, seq long, path string, name_id string")
+    out = edits.outcomes(items, new)
+    assert _exchanges(out) == 1
+    assert {(r.seq, r.outcome, r.item_id) for r in out.collect()} == {(1, "known", 1), (2, "completed", 2), (3, "added", None), (4, "added", None), (5, "added", None)}
+
+
+def test_exports_read_their_items_once(spark):
+    items = spark.createDataFrame([(1, 1, 2, "/b", True, "analysed"), (1, 2, 1, "/a", True, "analysed"), (1, 3, 3, "/b", True, "analysed"), (1, 4, 0, "/c", False, "analysed"), (1, 5, 4, None, True, "analysed")], "crate_id long, item_id long, position int, path string, file_ok boolean, state string")
+    lib = spark.createDataFrame([("/a", True), ("/b", True), ("/c", True)], "path string, current boolean")
+    out = review.export_status(items, lib, lib.select("path"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD[crate_id") == 1
+    assert {(r.item_id, r.status, r.entry) for r in out.collect()} == {(1, "ready", 2), (2, "ready", 1), (3, "ready", 2), (4, "no-file", None), (5, "not-analysed", None)}
+
+
+def test_counts_of_eligibility_without_a_row_for_each_genre(spark, sf):
+    items = upkeep.ordered_items(spark, sf)
+    more = items.unionByName(items.withColumn("item_id", F.col("item_id") + 10**9).withColumn("position", F.col("position") + 10))
+    for rows in (items, more):
+        want, got = crates.eligibility_summary(crates.eligible(rows)), crates.eligibility_counts(rows)
+        assert want.dtypes == got.dtypes and sorted(map(tuple, want.collect())) == sorted(map(tuple, got.collect()))
