@@ -43,6 +43,19 @@ def tempi(kind: str) -> list[float]:
     }[kind]
 
 
+def test_hops_are_counted_without_a_row_for_each_start_and_track(spark, monkeypatch):
+    """Starts that lead their tempo, that are alone at it, and that are in the library twice."""
+    rows = [(f"p{i:02}", b, "8A", 300.0) for i, b in enumerate([100.0, 100.0, 100.0, 104.0, 104.0, 111.0, 50.5, 118.0, 126.0, 400.0])] + [("p05", 111.0, "8A", 300.0), ("p07", 100.0, "8A", 300.0), ("short", 100.0, "8A", 20.0)]
+    lib = spark.createDataFrame(rows, SHAPE)
+    starts = lib.select("path")
+    want: dict[tuple, list] = {}
+    for r in reach.hops_to_all(starts, lib).collect():
+        want.setdefault((r.start, r.hops), []).append(r.path)
+    monkeypatch.delattr(reach, "hops_to_all")
+    got = {(r.start, r.hops): (r.tracks, r.first) for r in reach.hops_counted(starts, lib).collect()}
+    assert got == {k: (len(v), min(v)) for k, v in want.items()} and len(got) > 20
+
+
 @pytest.mark.parametrize("kind", ["dense", "sparse", "islands", "octaves", "edges"])
 def test_hops_against_breadth_first(spark, kind):
     rows = [(f"p{i:03d}", float(b), "8A", 300.0) for i, b in enumerate(tempi(kind))] + [("zero", 0.0, "8A", 300.0), ("short", float(tempi(kind)[0]), "8A", 20.0), ("nan", float("nan"), None, 300.0)]
