@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,19 @@ def test_refusals(spark):
     assert got == {"empty": "empty", "blank": "empty", "null": "empty", "utf16": "encoding", "bare16": "encoding", "nul": "encoding", "doctype": "doctype", "cut": "broken", "other": "no-collection", "bare": "no-collection", "bad8": "broken"}
 
 
+def test_a_worker_copies_one_file_at_a_time():
+    """20 files of 2 MB in one batch, one of them refused: copies of all would be 40 MB."""
+    body = (HEAD + TREE).encode().replace(b"<PLAYLISTS>", b"<PLAYLISTS><!--" + b"x" * 2_000_000 + b"-->")
+    batch = pa.RecordBatch.from_pydict({"path": [f"f{i}" for i in range(20)], "content": [body] * 19 + [None], "why": [None] * 19 + ["doctype"]})
+    tracemalloc.start()
+    got = [r for out in playlist_xml._rows(iter([batch])) for r in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000
+    assert [r["path"] for r in got if r["kind"] == "playlist"] == [f"f{i}" for i in range(19) for _ in range(3)]
+    assert [(r["path"], r["name"]) for r in got if r["kind"] == "refused"] == [("f19", "doctype")]
+
+
 def test_large_files_are_never_read(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(playlist_xml, "LARGEST", 500)
     (tmp_path / "small.xml").write_text(HEAD + "</DJ_PLAYLISTS>")
