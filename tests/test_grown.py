@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from cadenza.functions import grids
+from cadenza.functions import grids, keys
 from cadenza.operators import crates, duplicates, edits, neighbours, review
 from cadenza.plans import upkeep
 from cadenza.sources.staging import shared_dir
@@ -91,3 +92,25 @@ def test_counts_of_eligibility_without_a_row_for_each_genre(spark, sf):
     for rows in (items, more):
         want, got = crates.eligibility_summary(crates.eligible(rows)), crates.eligibility_counts(rows)
         assert want.dtypes == got.dtypes and sorted(map(tuple, want.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_a_key_is_read_once_for_each_item_of_a_pair(spark):
+    """Number and side of two keys: eight patterns at most (they were 76, 466 and 154), whatever the rule does with them; all spellings and what is no key give what they gave."""
+    texts = ["1A", " 1b ", "01A", "12A", "2A", "3A", "11B", "7A", "?", "", None, "13A"]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    for rule in (keys.relation, keys.compat, keys.steps):
+        plan = rows.select(rule(F.col("a"), F.col("b")))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(") <= 8  # NULLIF may name its own twice
+
+    def plain(a: str | None, b: str | None) -> str:
+        read = [re.fullmatch(r"\s*(0?[1-9]|1[0-2])\s*([ABab])\s*", x or "") for x in (a, b)]
+        if None in read:
+            return "unknown"
+        turn = (int(read[0][1]) - int(read[1][1])) % 12
+        turn, level = min(turn, 12 - turn), read[0][2].upper() == read[1][2].upper()
+        return ("same", "neighbour", "two")[turn] if level and turn < 3 else "relative" if turn == 0 else "far"
+
+    got = rows.select("a", "b", *(f(F.col("a"), F.col("b")).alias(n) for n, f in (("r", keys.relation), ("c", keys.compat), ("s", keys.steps)))).collect()
+    for r in got:
+        name = plain(r.a, r.b)
+        assert (r.r, r.c, r.s) == (name, keys.COMPAT[name], {"same": 0, "neighbour": 1, "relative": 1}.get(name, 2)), r
