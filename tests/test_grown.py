@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cadenza.functions import grids, keys
-from cadenza.operators import crates, duplicates, edits, neighbours, review
-from cadenza.plans import upkeep
+from cadenza.operators import crates, duplicates, edits, neighbours, review, search
+from cadenza.plans import queries, upkeep
 from cadenza.sources.staging import shared_dir
 
 
@@ -114,3 +114,12 @@ def test_a_key_is_read_once_for_each_item_of_a_pair(spark):
     for r in got:
         name = plain(r.a, r.b)
         assert (r.r, r.c, r.s) == (name, keys.COMPAT[name], {"same": 0, "neighbour": 1, "relative": 1}.get(name, 2)), r
+
+
+def test_a_result_is_taken_apart_once(spark, sf):
+    """Once for each text that scores need, not once for each place in their rule; and tokens are in no shuffle."""
+    rows = spark.createDataFrame([(1, "one two", "x y")], "query_id long, title string, artist string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(search.scored(rows, F.lower("title"))).count("sort_array(") == 2
+    text = plan(queries.search_relevance(spark, sf))
+    assert text.count("sort_array(") == 1 and text.index("sort_array(") < text.index("Exchange hashpartitioning")
