@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import frames
 from cadenza.operators import resolve, trees
+from cadenza.plans import intake
 from cadenza.sources import playlist_xml
 from cadenza.streaming import watch
 
@@ -124,6 +125,20 @@ def test_first_frame_against_every_byte():
     assert frames.first_frame(None) == -1
 
 
+def test_first_frames_of_streams_end_to_end(spark, sf, monkeypatch):
+    """A chain that only the next stream would end is none; streams of a batch are looked at together, in parts of few bytes as well; one file of events is many tasks."""
+    frame = lambda third, n: bytes([0xFF, 0xFB, third, 0]) + bytes(n - 4)
+    good = frame(0x90, 417) + frame(0x92, 418) + frame(0x90, 417)
+    streams = [good, None, frame(0x90, 417) * 2, good, b"", bytes(7) + good, good[:837], b"\x92\x00" + good, bytes(frames.SEARCHED) + good, bytes(frames.SEARCHED - 1) + good, b"\xff", b"\xfb\x90\x00" + good, None]
+    want = [0, -1, -1, 0, -1, 7, -1, 2, -1, frames.SEARCHED - 1, -1, 3, -1]
+    assert frames.first_in_each(streams).tolist() == want and frames.first_in_each([]).tolist() == []
+    rows = spark.createDataFrame(list(enumerate(streams)), "i int, content binary").coalesce(1)
+    for at_once in (frames.AT_ONCE, 1_000):
+        monkeypatch.setattr(frames, "AT_ONCE", at_once)
+        assert [r.at for r in rows.select("i", frames.first_frames(F.col("content")).alias("at")).orderBy("i").collect()] == want
+    assert intake.first_frames(spark, sf).rdd.getNumPartitions() == intake.PARTS
+
+
 def test_middle_of_a_file(spark):
     rows = [(300.0, 4_800_000), (150.0, 10_000), (150.5, 1_000), (None, 5), (200.0, None), (0.0, 10), (-5.0, 10), (200.0, 0), (float("nan"), 100), (float("inf"), 100), (300.0, 1)]
     got = [r.r for r in spark.createDataFrame(rows, "s double, n long").select(frames.middle_range(F.col("s"), F.col("n")).alias("r")).collect()]
