@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cadenza.functions import grids, keys
-from cadenza.operators import crates, duplicates, edits, neighbours, review, search
+from cadenza.operators import crates, duplicates, edits, neighbours, resolve, review, search
 from cadenza.plans import queries, upkeep
 from cadenza.sources.staging import shared_dir
 
@@ -123,3 +123,15 @@ def test_a_result_is_taken_apart_once(spark, sf):
     assert plan(search.scored(rows, F.lower("title"))).count("sort_array(") == 2
     text = plan(queries.search_relevance(spark, sf))
     assert text.count("sort_array(") == 1 and text.index("sort_array(") < text.index("Exchange hashpartitioning")
+
+
+def test_locations_and_files_of_a_common_name_are_not_paired(spark):
+    """40 of each with one name: no join, and the path, a tail, the name and nothing are told apart; a location with .. has no tails; nulls count for nothing."""
+    files = spark.createDataFrame([(f"/r/{i}/same.mp3",) for i in range(40)] + [(None,), ("/r/1/same.mp3",), ("/r/only.mp3",)], "path string")
+    asked = [f"/x/{i}/same.mp3" for i in range(40)] + ["/r/3/same.mp3", "D:\\r\\4\\SAME.mp3", "/y/same.mp3", "/r/../5/same.mp3", "/z/only.mp3", "/z/none.mp3", "", "/r/", None]
+    got = resolve.resolved(spark.createDataFrame([(a,) for a in asked], "location string"), files)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {r.location: (r.state, r.path, r.step) for r in got.collect()}
+    want = {f"/x/{i}/same.mp3": ("ok", f"/r/{i}/same.mp3", "tail") for i in range(40)} | {"/r/3/same.mp3": ("ok", "/r/3/same.mp3", "exact"), "D:\\r\\4\\SAME.mp3": ("ok", "/r/4/same.mp3", "tail")}
+    want |= {"/y/same.mp3": ("ambiguous", None, "name"), "/r/../5/same.mp3": ("ambiguous", None, "name"), "/z/only.mp3": ("ok", "/r/only.mp3", "name")}
+    assert found == want | {k: ("not-found", None, None) for k in ("/z/none.mp3", "", "/r/")}
