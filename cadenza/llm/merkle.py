@@ -77,7 +77,7 @@ def numbered(leaves: DataFrame) -> DataFrame:
     trees = trees.join(sizes, F.col("group").eqNullSafe(F.col("of"))).select("of", "tree", "n")
     placed = parts.join(trees, F.col("group").eqNullSafe(F.col("of"))).join(ranges, "range")
     placed = staged(placed.select(F.col("range").alias("at"), "of", "tree", "n", (F.col("before") - F.col("first")).alias("shift"), "g0"), "merkle-places")
-    near = F.broadcast(placed) if placed.count() <= SENT else placed
+    near = F.broadcast(placed) if placed.count() <= SENT else placed.hint("merge")
     out = dealt.join(near, (F.col("range") == F.col("at")) & F.col("group").eqNullSafe(F.col("of")))
     return out.select(*leaves.columns, "tree", "n", (F.col("row") + F.col("shift")).alias("idx"), (F.col("row") + F.col("g0")).alias("g"))
 
@@ -138,7 +138,8 @@ def proofs(leaves: DataFrame, nodes: DataFrame, n_trees: int) -> DataFrame:
     needs = leaves.select(F.col("tree").alias("of"), "idx", F.floor(F.col("g") / BLOCK).alias("block"), F.inline(wanted))
     blocks = F.sequence(F.floor(F.col("lo") / BLOCK), F.floor(F.col("hi") / BLOCK))
     copies = nodes.select("tree", "power", "pos", "digest", F.explode(blocks).alias("block"))
-    met = needs.join(copies, ["tree", "power", "pos", "block"])
+    # Spark sizes an exploded table as it was before, so either side may look small enough to be sent to all tasks: never.
+    met = needs.hint("merge").join(copies, ["tree", "power", "pos", "block"])
     every = F.sort_array(F.collect_list(F.struct("level", (F.col("pos") % FAN).cast("int").alias("place"), "digest")))
     by_leaf = met.groupBy(F.col("of").alias("tree"), "idx").agg(every.alias("found"))
     return by_leaf.select("tree", "idx", F.get("found", F.lit(0)).digest.alias("subroot"), F.slice("found", 2, 2 * len(POWERS) * FAN).alias("siblings"))
@@ -177,7 +178,7 @@ def manifest(df: DataFrame, group: str, id: str, leaf: Column, **carried: Column
     above = above.withColumn("lo", F.col("a_start")).withColumn("hi", F.col("b_start") + F.col("b_n") - 1)
     names = ["tree", "power", "pos", "digest", "lo", "hi"]
     proved = proofs(placed, below.select(*names).unionByName(above.select(*names)), n_trees)
-    out = placed.join(proved, ["tree", "idx"]).withColumn("root", F.lit(hexed_bytes(tops)))
+    out = placed.hint("merge").join(proved, ["tree", "idx"]).withColumn("root", F.lit(hexed_bytes(tops)))
     return out.select("id", "group", *carried, hexed(F.col("leaf")).alias("leaf"), "tree", "n", "idx", hexed(F.col("subroot")).alias("subroot"), "root", "siblings"), n_trees
 
 

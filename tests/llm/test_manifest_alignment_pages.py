@@ -76,6 +76,13 @@ def test_manifest_against_plain_version(spark, messy, none, tmp_path):
     assert got == plain_manifest([r for r in rows if r[0] == 5]) and next(iter(got))[4] == h()
 
 
+def test_manifest_sends_no_exploded_table(spark):
+    """What leaves need is many times what Spark takes it for, and is never broadcast."""
+    leaves = spark.range(30).select(F.lit(0).cast("long").alias("tree"), F.lit(30).cast("long").alias("n"), F.col("id").alias("idx"), F.col("id").alias("g"))
+    nodes = leaves.select("tree", F.lit(1).cast("long").alias("power"), F.col("idx").alias("pos"), F.lit(b"x").alias("digest"), F.col("g").alias("lo"), F.col("g").alias("hi"))
+    assert "Broadcast" not in merkle.proofs(leaves, nodes, 1)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 9, 10, 27, 28, 82, 730])
 def test_manifest_at_edges_of_levels(spark, tmp_path, n):
     """Groups that end just before and after a level, beside groups of one row."""
