@@ -12,6 +12,8 @@ from cadenza.functions.scoring import SetConfig
 from cadenza.operators.library import SHORTEST
 from cadenza.operators.setbuilder import Shelf, one_set, tempo_scores
 
+#: Tasks that lists are dealt over: they are few bytes, but much work.
+TASKS = 96
 RECORD = "kind string, id string, title string, `user` struct<username:string>, policy string, streamable boolean, full_duration double, duration double, permalink_url string, media struct<transcodings:array<struct<snipped:boolean,format:struct<protocol:string>>>>"
 
 
@@ -87,7 +89,7 @@ def mixing_order(items: DataFrame, station: str = "station") -> DataFrame:
         return pd.DataFrame([(rows[station].iloc[0], i, *x) for i, x in enumerate(out)], columns=[station, "place", "track_id", "part", "reason"])
 
     kind, of = (dict(items.dtypes)[c] for c in (station, "track_id"))
-    return items.groupBy(station).applyInPandas(order, f"{station} {kind}, place int, track_id {of}, part string, reason string")
+    return items.repartition(TASKS, station).groupBy(station).applyInPandas(order, f"{station} {kind}, place int, track_id {of}, part string, reason string")
 
 
 def left_out(row_bpm: Column, tempos: Column, duration: Column, passes) -> Column:
